@@ -8,7 +8,13 @@ import importlib
 _AT = {
     "op1_byte_bpe": "bpe",
     "op2_quality_rules": "quality_rules",
+    "op3_mixing": "mixing",
+    "op4_url_filter": "url_filter",
     "op5_quality_classifier": "classifier",
+    "op6_topk_search": "topk_search",
+    "op7_near_dedup": "near_dedup",
+    "op8_warc": "warc",
+    "op9_lm_score": "lm_score",
 }
 
 
