@@ -15,6 +15,7 @@ _AT = {
     "op7_near_dedup": "near_dedup",
     "op8_warc": "warc",
     "op9_lm_score": "lm_score",
+    "op10_pii": "pii",
 }
 
 
