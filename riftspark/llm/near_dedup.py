@@ -4,14 +4,15 @@
    bits each are kept in seven longs, and 44 band keys of five whole minima each. A link at similarity 0.75 shares
    no band with a chance of 7e-6.
 2. Texts of equal sets collapse to one representative; copies are never paired.
-3. Representatives that share a band key form a bucket. Each is paired with the bucket's smallest id only (a star).
+3. Representatives that share a band key form a bucket; its smallest id is its centre. Each member is first paired with
+   the smallest of its centres only, then with those centres that are still in other components.
 4. A pair's packed signatures give the share c of equal 2-bit values by bit counts; (c - 1/4) / (3/4) corrects for chance
-   collisions. Pairs five standard deviations below the threshold go.
+   collisions. Pairs four standard deviations below the threshold go.
 5. The rest is confirmed on full shingle sets; confirmed links give components.
-6. What a star can't see, a link between two members of a bucket that are still in different components, is searched
+6. What centres can't see, a link between two members of a bucket that are still in different components, is searched
    for in the buckets that hold several components: blocks of at most 1024 x 1024 members are compared by bit counts
-   within a task, only pairs of different components that pass the estimate come out, and they are confirmed
-   like the others. Components are formed anew from all links.
+   within a task, only pairs of different components that pass the estimate come out, in the first band that they
+   share, and they are confirmed like the others. Components are formed anew from all links.
 
 No group is gathered in one task: buckets are counted with partial aggregation, large ones are cut into blocks. A bucket
 with m members of many components costs m²/2 bit counts in (m/1024)²/2 tasks; pairs inside a component cost nothing.
@@ -45,7 +46,7 @@ class Settings:
     longs: int = 7
     seed: int = 20
     #: Standard deviations of the estimate that a pair may lie below the threshold.
-    margin: float = 5.0
+    margin: float = 4.0
     #: Members of a side of a block.
     block: int = 1024
     #: Rows of an (id, fingerprint) table that may be broadcast: at 24 bytes, 48 MB.
@@ -206,15 +207,16 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings)
     at = common.keep(members.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "labelled")
     mixed = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y")
     mixed = common.keep(mixed.select("key", F.ceil(F.col("m") / s.block).cast("int").alias("parts")), "mixed")
-    some = at.join(mixed, "key").join(reps.select("id", "bits"), "id")
+    low = F.transform("bands", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
+    some = at.join(mixed, "key").join(reps.select("id", "bits", low.alias("bands")), "id")
     # block (i, j) with i <= j meets part i with part j; a member of part p goes to each block with p in it
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    units = some.withColumn("part", part).select("key", "id", "comp", "bits", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    units = units.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "comp", "bits")
+    units = some.withColumn("part", part).select("key", "id", "comp", "bits", "bands", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    units = units.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "comp", "bits", "bands")
     units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     limit = (s.estimate_at_least * 0.75 + 0.25) * s.hashes
 
-    def pairs_of(i: int, j: int, part: np.ndarray, ids: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_of(key: int, i: int, j: int, part: np.ndarray, ids: np.ndarray, comp: np.ndarray, bits: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if comp.min() == comp.max():
             return ids[:0], ids[:0]
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
@@ -226,8 +228,12 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings)
                 d = bits[rows, w][:, None] ^ bits[right, w][None, :]
                 equal -= np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555))
             p, q = np.nonzero((equal >= limit) & (comp[rows][:, None] != comp[right][None, :]))
-            a.append(ids[rows[p]])
-            b.append(ids[right[q]])
+            p, q = rows[p], right[q]
+            for n in range(0, len(p), 8192):
+                x, y = p[n : n + 8192], q[n : n + 8192]
+                first = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == np.int64(key).astype(np.int32)
+                a.append(ids[x[first]])
+                b.append(ids[y[first]])
         return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +241,8 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings)
 
         def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
             bits = batch.column(6).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, s.longs)
-            return [*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)), bits]
+            bands = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, s.bands)
+            return [*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)), bits, bands]
 
         def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             key, i, j = cols[:3]
@@ -243,7 +250,7 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings)
             bounds = [0, *cuts.tolist(), len(key)]
             for x, y in zip(bounds, bounds[1:], strict=False):
                 if y - x > 1:
-                    a, b = pairs_of(int(i[x]), int(j[x]), cols[3][x:y], cols[4][x:y], cols[5][x:y], cols[6][x:y])
+                    a, b = pairs_of(int(key[x]), int(i[x]), int(j[x]), *(c[x:y] for c in cols[3:]))
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -268,6 +275,25 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings)
     return out
 
 
+def likely(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
+    """The pairs whose estimate passes, kept."""
+    bits = reps.select("id", "bits")
+    guess = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+    return common.keep(guess.where(estimate(F.col("bits_a"), F.col("bits_b"), s) >= s.estimate_at_least).select("a", "b"), "likely")
+
+
+def joined(links: DataFrame, labels: DataFrame, pairs: DataFrame, docs: DataFrame, reps: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Links and labels with those of more pairs."""
+    if not pairs.count():
+        return links, labels
+    more = confirm(pairs, docs, reps, s)
+    if not more.count():
+        return links, labels
+    every = common.keep(links.unionByName(more), "links")
+    common.drop(links, labels, more, pairs)
+    return every, components(every)
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
     """One row for each row of df: id, n_shingles, component_id (the smallest id reachable by links) and kept."""
     s = settings or Settings()
@@ -279,11 +305,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sett
     banded = reps.select("id", F.explode("bands").alias("key"))
     buckets = common.keep(banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key", "lo"), "buckets")
     members = common.keep(banded.join(buckets, "key"), "members")
-    stars = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
-    bits = reps.select("id", "bits")
-    guess = stars.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b").where(estimate(F.col("bits_a"), F.col("bits_b"), s) >= s.estimate_at_least)
-    candidates = common.keep(guess.select("a", "b"), "candidates")
-    links = confirm(candidates, docs, reps, s)
+    stars = members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    tried = common.keep(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    links = confirm(likely(tried, reps, s), docs, reps, s)
 
     # rows of one id with different texts tie their sets together
     twice = common.keep(usable.groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).where("x <> y").select("id"), "twice")
@@ -296,19 +320,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sett
     common.drop(twice)
 
     labels = components(links)
+    at = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"comp_{c}"))
+    others = common.keep(stars.distinct().join(tried, ["a", "b"], "left_anti"), "others")
+    apart = others.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
+    links, labels = joined(links, labels, likely(apart, reps, s), docs, reps, s)
     found = across(members.select("key", "id"), labels, reps, s)
-    more = common.keep(found.join(candidates, ["a", "b"], "left_anti"), "more")
-    if more.count():
-        extra = confirm(more, docs, reps, s)
-        if extra.count():
-            common.drop(labels)
-            labels = components(links.unionByName(extra))
-        common.drop(extra)
-    common.drop(buckets, members, candidates, found, more, links)
+    tested = tried.unionByName(others)
+    links, labels = joined(links, labels, common.keep(found.join(tested, ["a", "b"], "left_anti"), "more"), docs, reps, s)
+    common.drop(buckets, members, tried, others, found, links)
 
     # sets with copies, or in the component of a smaller id
-    joined = reps.select("f1", "f2", "copies", "id").join(labels, "id", "left")
-    of_set = common.keep(joined.where("copies > 1 or comp is not null").select("f1", "f2", F.coalesce("comp", "id").alias("comp")), "of_set")
+    labelled = reps.select("f1", "f2", "copies", "id").join(labels, "id", "left")
+    of_set = common.keep(labelled.where("copies > 1 or comp is not null").select("f1", "f2", F.coalesce("comp", "id").alias("comp")), "of_set")
     common.drop(reps, labels)
     out = signed.select("id", "n", "f1", "f2").join(of_set, ["f1", "f2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
