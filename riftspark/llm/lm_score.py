@@ -23,6 +23,7 @@ its own; an empty table gives an empty one.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -38,7 +39,7 @@ ROUNDS = 3
 #: Added to each piece's expected count.
 SMOOTH = 0.5
 #: Words a worker remembers; then it forgets all.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Characters of a word that are treated in columns with others; longer ones go one by one.
 LONG = 200
 MARK, PAD = 0x2581, 0x110001
@@ -97,12 +98,18 @@ class Lattice:
     def find(self, h: np.ndarray) -> np.ndarray:
         """The pieces of hashes, -1 for none."""
         at = self._slot(h)
-        out = np.full(h.shape, -1, np.int32)
-        for _ in range(self.probes):
-            got = self.slots[at]
-            hit = (got >= 0) & (self.keys[got] == h)
-            out[hit] = got[hit]
-            at = (at + 1) & ((1 << self.bits) - 1)
+        out = self.slots[at]
+        # most slots are empty or right; the others are looked at one by one
+        wrong = np.nonzero((out >= 0) & (self.keys[out] != h))
+        if len(wrong[0]):
+            left, place = h[wrong], at[wrong]
+            found = np.full(len(left), -1, np.int32)
+            for _ in range(1, self.probes):
+                place = (place + 1) & ((1 << self.bits) - 1)
+                got = self.slots[place]
+                hit = (got >= 0) & (self.keys[got] == left)
+                found[hit] = got[hit]
+            out[wrong] = found
         return out
 
     def spelled(self, code: int) -> np.ndarray:
@@ -133,8 +140,8 @@ def _columns(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _edges(lat: Lattice, codes: np.ndarray, logp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], dict[int, np.ndarray]]:
-    """For each length: the pieces that begin at each position and their log probabilities. Characters that are no piece
-    get -2 - k of the k-th spelled character."""
+    """For each length: the pieces that begin at each position and their log probabilities, -1 and -inf
+    where none does; characters that no piece holds alone have no piece, but the probability of their bytes."""
     h = np.zeros_like(codes)
     pieces, values, spelled = [], [], {}
     width = codes.shape[1]
@@ -155,17 +162,24 @@ def _edges(lat: Lattice, codes: np.ndarray, logp: np.ndarray) -> tuple[list[np.n
     return pieces, values, spelled
 
 
+def _sum_of_logs(terms: list[np.ndarray]) -> np.ndarray:
+    """ln of the sum of exponentials, by rows; -inf where all are."""
+    if len(terms) == 1:
+        return terms[0]
+    top = functools.reduce(np.maximum, terms)
+    safe = np.where(top > -np.inf, top, 0.0)
+    total = np.zeros(len(top))
+    for t in terms:
+        total += np.exp(t - safe)
+    with np.errstate(divide="ignore"):
+        return safe + np.log(total)
+
+
 def forward(values: list[np.ndarray], width: int) -> np.ndarray:
-    """Log of the probability of each prefix, summed over its cuts."""
-    rows = values[0].shape[0]
-    alpha = np.full((rows, width + 1), -np.inf)
-    alpha[:, 0] = 0.0
+    """Log of the probability of each prefix, summed over its cuts: by position, then by word."""
+    alpha = np.zeros((width + 1, values[0].shape[0]))
     for j in range(1, width + 1):
-        for n in range(1, min(j, len(values)) + 1):
-            v = values[n - 1][:, j - n]
-            use = np.flatnonzero(v > -np.inf)
-            if len(use):
-                alpha[use, j] = np.logaddexp(alpha[use, j], alpha[use, j - n] + v[use])
+        alpha[j] = _sum_of_logs([alpha[j - n] + values[n - 1][:, j - n] for n in range(1, min(j, len(values)) + 1)])
     return alpha
 
 
@@ -203,7 +217,7 @@ def log_likelihoods(lat: Lattice, words: list[str], logp: np.ndarray) -> np.ndar
     out = np.empty(len(words))
     for at, n, codes in _columns(words):
         _, values, _ = _edges(lat, codes, logp)
-        out[at] = forward(values, codes.shape[1])[np.arange(len(at)), n]
+        out[at] = forward(values, codes.shape[1])[n, np.arange(len(at))]
     for i, w in enumerate(words):
         if len(w) + 1 > LONG:
             out[i] = _one(lat, w, logp)
@@ -217,25 +231,21 @@ def expectations(lat: Lattice, words: list[str], counts: np.ndarray, logp: np.nd
         pieces, values, spelled = _edges(lat, codes, logp)
         rows, width = codes.shape
         alpha = forward(values, width)
-        beta = np.full((rows, width + 1), -np.inf)
-        beta[np.arange(rows), n] = 0.0
-        for i in range(width - 1, -1, -1):
-            for k in range(1, min(width - i, len(values)) + 1):
-                v = values[k - 1][:, i]
-                use = np.flatnonzero((v > -np.inf) & (beta[:, i + k] > -np.inf))
-                if len(use):
-                    beta[use, i] = np.logaddexp(beta[use, i], beta[use, i + k] + v[use])
-        total = alpha[np.arange(rows), n]
+        beta = np.full((width + 1, rows), -np.inf)
+        for i in range(width, -1, -1):
+            steps = [beta[i + k] + values[k - 1][:, i] for k in range(1, min(width - i, len(values)) + 1)]
+            beta[i] = np.where(n == i, 0.0, _sum_of_logs(steps) if steps else -np.inf)
+        total = alpha[n, np.arange(rows)]
         weight = counts[at]
         for k, (piece, v) in enumerate(zip(pieces, values, strict=True), 1):
-            with np.errstate(invalid="ignore"):
-                share = np.exp(alpha[:, : width - k + 1] + v + beta[:, k:] - total[:, None])
-            share = np.where(np.isfinite(share), share, 0.0) * weight[:, None]
-            known = piece >= 0
-            out += np.bincount(piece[known], share[known], lat.size)
+            r, i = np.nonzero(v > -np.inf)
+            share = np.exp(alpha[i, r] + v[r, i] + beta[i + k, r] - total[r]) * weight[r]
+            p = piece[r, i]
+            known = p >= 0
+            out += np.bincount(p[known], share[known], lat.size)
             if k == 1:
                 for c, own in spelled.items():
-                    np.add.at(out, own, share[(codes == c) & ~known].sum())
+                    np.add.at(out, own, share[~known & (codes[r, i] == c)].sum())
     for i, w in enumerate(words):
         if len(w) + 1 > LONG:
             _one(lat, w, logp, out, float(counts[i]))
@@ -305,6 +315,47 @@ def frequent(counts: DataFrame, most: int = HEAD) -> dict[bytes, int]:
     return dict(zip(got["word"].to_pylist(), got["c"].to_pylist(), strict=True))
 
 
+class _Numbers(dict):
+    """Words numbered as they come; new ones wait in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+class _Words:
+    """What a worker remembers of words, from task to task of one query: log10 likelihoods, and base scores or NaN."""
+
+    def __init__(self, lat: Lattice, logs: np.ndarray, counts: dict[bytes, int], below: float):
+        self.lat, self.logs, self.counts, self.below = lat, logs, counts, below
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = _Numbers()
+        self.score = np.empty(0)
+        self.base = np.empty(0)
+
+    def number(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+
+    def learn(self) -> None:
+        """Score the new words."""
+        new, self.numbers.new = self.numbers.new, []
+        if new:
+            found = log_likelihoods(self.lat, [common.as_text(w) for w in new], self.logs) / np.log(10.0)
+            counts = np.array([self.counts.get(w, -1.0) for w in new], np.float64)
+            base = np.where(counts < 0, np.nan, np.log10((np.maximum(counts, 0) + 0.5) / self.below))
+            self.score, self.base = np.concatenate([self.score, found]), np.concatenate([self.base, base])
+
+
+_worker: dict[str, _Words] = {}
+
+
 def score(df: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "piece_bpe_32k.model", head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) for each row of df; training: rows to learn from."""
     spark = df.sparkSession
@@ -314,31 +365,35 @@ def score(df: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "
     below = tokens + 0.5 * (types + 1)
     known_counts = spark.sparkContext.broadcast(frequent(counts, head))
 
+    query = uuid.uuid4().hex
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat, logs = lattice(vocabulary), logp.value
-        end = float(logs[lat.end])
-        base = {w: float(np.log10((c + 0.5) / below)) for w, c in known_counts.value.items()}
-        end_base = base.get(b"")
-        known: dict[bytes, float] = {}
-        ten = np.log(10.0)
+        if query not in _worker:
+            _worker.clear()
+            _worker[query] = _Words(lattice(vocabulary), logp.value, known_counts.value, below)
+        known = _worker[query]
+        end = float(known.logs[known.lat.end]) / np.log(10.0)
+        end_base = known.counts.get(b"")
+        end_base = None if end_base is None else float(np.log10((end_base + 0.5) / below))
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
                 texts = [raw.lower().split() for raw in common.as_bytes(batch.column(1))]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                new = list({w for words in texts for w in words if w not in known})
-                known.update(zip(new, log_likelihoods(lat, [common.as_text(w) for w in new], logs).tolist(), strict=True))
+                if len(known.numbers) > REMEMBERED:
+                    known.forget()
+                numbered = [known.number(words) for words in texts]
+                known.learn()
                 n, n_known, base_sum, total, rare = [], [], [], [], []
-                for words in texts:
-                    values = [base.get(w) for w in words]
-                    rest = Counter(w for w, v in zip(words, values, strict=True) if v is None)
+                for words, at in zip(texts, numbered, strict=True):
+                    base = known.base[at]
+                    unknown = np.flatnonzero(np.isnan(base))
+                    rest = Counter(words[i] for i in unknown)
                     if end_base is None:
                         rest[b""] += 1
                     n.append(len(words) + 1)
                     n_known.append(len(words) + 1 - sum(rest.values()))
-                    base_sum.append(sum(v for v in values if v is not None) + (end_base or 0.0))
-                    total.append((sum(map(known.__getitem__, words)) + end) / ten)
+                    base_sum.append(float(np.nansum(base)) + (end_base or 0.0))
+                    total.append(float(known.score[at].sum()) + end)
                     rare.append([{"word": w, "k": c} for w, c in rest.items()])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_sum, pa.float64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))],
