@@ -296,7 +296,8 @@ def redact(df: DataFrame, text: str = "text", settings: Settings | None = None)
         if any(model.threshold[k] < float("inf") for k in kinds):
 
             def added(m: Column, gap: Column, after: Column, address: bool = address, kinds: tuple = kinds) -> Column:
-                which = model.adds(features(m, gap, after, address), kinds)
+                # bound once: the trees name a feature hundreds of times
+                which = F.transform(F.array(features(m, gap, after, address)), lambda f: model.adds(f, kinds))[0]
                 return F.when(which.isNotNull(), F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), which + 1))
 
             steps.append((pattern, added))
