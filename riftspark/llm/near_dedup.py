@@ -11,8 +11,9 @@
 5. The rest is confirmed on full shingle sets; confirmed links give components.
 6. What centres can't see, a link between two members of a bucket that are still in different components, is searched
    for in the buckets that hold several components: blocks of at most 1024 x 1024 members are compared by bit counts
-   within a task, only pairs of different components that pass the estimate come out, in the first band that they
-   share, and they are confirmed like the others. Components are formed anew from all links.
+   within a task, pairs of different components that pass the estimate again by longer signatures, of 1024 minima. What
+   passes both comes out, in the first band that the pair shares, and is confirmed like the others. Components are formed
+   anew from all links.
 
 No group is gathered in one task: buckets are counted with partial aggregation, large ones are cut into blocks. A bucket
 with m members of many components costs m²/2 bit counts in (m/1024)²/2 tasks; pairs inside a component cost nothing.
@@ -44,6 +45,8 @@ class Settings:
     rows: int = 5
     bands: int = 44
     longs: int = 7
+    #: Longs of the longer signatures.
+    fine_longs: int = 32
     seed: int = 20
     #: Standard deviations of the estimate that a pair may lie below the threshold.
     margin: float = 4.0
@@ -56,11 +59,15 @@ class Settings:
     def hashes(self) -> int:
         return 32 * self.longs
 
-    @property
-    def estimate_at_least(self) -> float:
+    def estimate_at_least(self, hashes: int) -> float:
+        """The estimate that a pair at the threshold passes, but for so many standard deviations."""
         j = self.percent / 100
         c = j + (1 - j) / 4
-        return j - self.margin * (c * (1 - c) / self.hashes) ** 0.5 / 0.75
+        return j - self.margin * (c * (1 - c) / hashes) ** 0.5 / 0.75
+
+    def equal_at_least(self, hashes: int) -> float:
+        """The same as a number of equal values."""
+        return (self.estimate_at_least(hashes) * 0.75 + 0.25) * hashes
 
 
 class _Hashes(dict):
@@ -95,27 +102,32 @@ def shingles(raw: bytes, known: _Hashes, k: int = 5) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=4)
-def _factors(s: Settings) -> np.ndarray:
-    return np.random.default_rng(s.seed).integers(0, 1 << 63, s.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _factors(seed: int, hashes: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def minima(found: np.ndarray, s: Settings) -> np.ndarray:
-    factors, out = _factors(s)[:, None], None
-    for k in range(0, len(found), 1024):
-        part = (factors * found[None, k : k + 1024]).min(axis=1)
+def minima(found: np.ndarray, s: Settings, hashes: int | None = None) -> np.ndarray:
+    hashes = hashes or s.hashes
+    factors, out, step = _factors(s.seed, hashes)[:, None], None, 1 + 262_144 // hashes
+    for k in range(0, len(found), step):
+        part = (factors * found[None, k : k + step]).min(axis=1)
         out = part if out is None else np.minimum(out, part)
     return out
 
 
+def packed(least: np.ndarray) -> np.ndarray:
+    """The low two bits of the (mixed) minima, 32 to a long."""
+    two = ((least ^ (least >> np.uint64(32))) & np.uint64(3)).reshape(-1, 32)
+    return np.bitwise_or.reduce(two << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1).view(np.int64)
+
+
 def bands_and_bits(least: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys, and the low two bits of the (mixed) minima, 32 to a long."""
+    """Band keys and packed bits."""
     rows = least[: s.bands * s.rows].reshape(s.bands, s.rows)
     key = np.arange(1, s.bands + 1, dtype=np.uint64)
     for i in range(s.rows):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
-    two = ((least ^ (least >> np.uint64(32))) & np.uint64(3)).reshape(s.longs, 32)
-    bits = np.bitwise_or.reduce(two << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1)
-    return key.view(np.int64), bits.view(np.int64)
+    return key.view(np.int64), packed(least)
 
 
 def _fingerprint(found: np.ndarray) -> tuple[int, int]:
@@ -163,24 +175,31 @@ def estimate(x: Column, y: Column, s: Settings) -> Column:
     return (equal / F.lit(s.hashes) - F.lit(0.25)) / F.lit(0.75)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
-    """Those pairs (a, b) of representatives whose full sets are similar enough, kept."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "f1", "f2"), "id")
-    ids = common.keep(ids, "ids")
+def sets_of(ids: DataFrame, docs: DataFrame, reps: DataFrame, s: Settings, fine: bool = False) -> DataFrame:
+    """A kept table (id, value) of representatives: their sets as bytes, or their longer signatures."""
+    ids = common.keep(ids.distinct().join(reps.select("id", "f1"), "id"), "ids")
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
         for batch in batches:
             keys, out = [], []
             for i, f1, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.as_bytes(batch.column(2)), strict=True):
                 found = shingles(raw, known, s.shingle)
+                # rows of one id may have other texts than the representative
                 if len(found) and _fingerprint(found)[0] == f1:
                     keys.append(i)
-                    out.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["id", "set"])
+                    out.append(packed(minima(found, s, 32 * s.fine_longs)).tobytes() if fine else found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["id", "value"])
 
     texts = docs.join(common.maybe_broadcast(ids, s.broadcast_rows), "id").select("id", "f1", "text")
-    full = common.keep(texts.mapInArrow(sets, "id long, set binary").groupBy("id").agg(F.first("set").alias("set")), "sets")
+    out = common.keep(texts.mapInArrow(run, "id long, value binary").groupBy("id").agg(F.first("value").alias("value")), "values")
+    common.drop(ids)
+    return out
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
+    """Those pairs (a, b) of representatives whose full sets are similar enough, kept."""
+    full = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, reps, s)
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,28 +214,34 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, s: Settings) ->
                 out.append(100 * both >= s.percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-    with_b = pairs.join(full.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    with_a = with_b.join(full.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    with_b = pairs.join(full.select(F.col("id").alias("b"), F.col("value").alias("set_b")), "b")
+    with_a = with_b.join(full.select(F.col("id").alias("a"), F.col("value").alias("set_a")), "a")
     links = common.keep(with_a.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long"), "links")
-    common.drop(ids, full)
+    common.drop(full)
     return links
 
 
-def across(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
+def across(members: DataFrame, labels: DataFrame, docs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b) of a bucket whose ends lie in different components and whose estimate passes."""
     at = common.keep(members.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "labelled")
     mixed = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y")
     mixed = common.keep(mixed.select("key", F.ceil(F.col("m") / s.block).cast("int").alias("parts")), "mixed")
     low = F.transform("bands", lambda k: F.shiftright(F.shiftleft(k, 32), 32).cast("int"))
-    some = at.join(mixed, "key").join(reps.select("id", "bits", low.alias("bands")), "id")
+    among = common.keep(at.join(mixed, "key"), "among")
+    fine = sets_of(among.select("id"), docs, reps, s, fine=True)
+    some = among.join(reps.select("id", "bits", low.alias("bands")), "id").join(fine.withColumnRenamed("value", "fine"), "id")
     # block (i, j) with i <= j meets part i with part j; a member of part p goes to each block with p in it
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    units = some.withColumn("part", part).select("key", "id", "comp", "bits", "bands", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    units = units.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "comp", "bits", "bands")
+    units = some.withColumn("part", part).select("key", "id", "comp", "bits", "bands", "fine", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    units = units.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "comp", "bits", "bands", "fine")
     units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    limit = (s.estimate_at_least * 0.75 + 0.25) * s.hashes
+    limit, fine_limit = s.equal_at_least(s.hashes), s.equal_at_least(32 * s.fine_longs)
+
+    def unequal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = x ^ y
+        return np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555))
 
-    def pairs_of(key: int, i: int, j: int, part: np.ndarray, ids: np.ndarray, comp: np.ndarray, bits: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_of(key: int, i: int, j: int, part: np.ndarray, ids: np.ndarray, comp: np.ndarray, bits: np.ndarray, bands: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if comp.min() == comp.max():
             return ids[:0], ids[:0]
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
@@ -225,12 +250,13 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings)
             rows = left[k : k + 64]
             equal = np.full((len(rows), len(right)), s.hashes, np.int64)
             for w in range(s.longs):
-                d = bits[rows, w][:, None] ^ bits[right, w][None, :]
-                equal -= np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(0x5555555555555555))
+                equal -= unequal(bits[rows, w][:, None], bits[right, w][None, :])
             p, q = np.nonzero((equal >= limit) & (comp[rows][:, None] != comp[right][None, :]))
             p, q = rows[p], right[q]
             for n in range(0, len(p), 8192):
                 x, y = p[n : n + 8192], q[n : n + 8192]
+                close = 32 * s.fine_longs - unequal(fine[x], fine[y]).sum(axis=1, dtype=np.int64) >= fine_limit
+                x, y = x[close], y[close]
                 first = bands[x, (bands[x] == bands[y]).argmax(axis=1)] == np.int64(key).astype(np.int32)
                 a.append(ids[x[first]])
                 b.append(ids[y[first]])
@@ -242,7 +268,8 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings)
         def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
             bits = batch.column(6).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, s.longs)
             bands = batch.column(7).flatten().to_numpy(zero_copy_only=False).reshape(-1, s.bands)
-            return [*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)), bits, bands]
+            fine = np.frombuffer(b"".join(x.as_py() for x in batch.column(8)), np.uint64).reshape(-1, s.fine_longs)
+            return [*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)), bits, bands, fine]
 
         def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             key, i, j = cols[:3]
@@ -271,7 +298,7 @@ def across(members: DataFrame, labels: DataFrame, reps: DataFrame, s: Settings)
             yield from emit(held)
 
     out = common.keep(units.mapInArrow(run, "a long, b long").distinct(), "across")
-    common.drop(at, mixed)
+    common.drop(at, mixed, among, fine)
     return out
 
 
@@ -279,7 +306,7 @@ def likely(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     """The pairs whose estimate passes, kept."""
     bits = reps.select("id", "bits")
     guess = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
-    return common.keep(guess.where(estimate(F.col("bits_a"), F.col("bits_b"), s) >= s.estimate_at_least).select("a", "b"), "likely")
+    return common.keep(guess.where(estimate(F.col("bits_a"), F.col("bits_b"), s) >= s.estimate_at_least(s.hashes)).select("a", "b"), "likely")
 
 
 def joined(links: DataFrame, labels: DataFrame, pairs: DataFrame, docs: DataFrame, reps: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
@@ -324,7 +351,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sett
     others = common.keep(stars.distinct().join(tried, ["a", "b"], "left_anti"), "others")
     apart = others.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
     links, labels = joined(links, labels, likely(apart, reps, s), docs, reps, s)
-    found = across(members.select("key", "id"), labels, reps, s)
+    found = across(members.select("key", "id"), labels, docs, reps, s)
     tested = tried.unionByName(others)
     links, labels = joined(links, labels, common.keep(found.join(tested, ["a", "b"], "left_anti"), "more"), docs, reps, s)
     common.drop(buckets, members, tried, others, found, links)
