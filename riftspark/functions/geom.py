@@ -35,11 +35,11 @@ def segment_line(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def start(pts: str | Column) -> Column:
-    return F.try_element_at(_c(pts), F.lit(1))
+    return F.get(_c(pts), 0)
 
 
 def end(pts: str | Column) -> Column:
-    return F.try_element_at(_c(pts), F.lit(-1))
+    return F.get(_c(pts), F.size(_c(pts)) - 1)
 
 
 def endpoints(pts: str | Column) -> Column:
@@ -231,9 +231,14 @@ def segmentize(pts: str | Column, step: float) -> Column:
 # Distances and intersections
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, and a where b is 0: never null, never an error."""
+    return a / F.when(b != 0, b).otherwise(1.0)
+
+
 def point_segment_distance(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     dx, dy = x1 - x0, y1 - y0
-    t = F.coalesce(F.try_divide((px - x0) * dx + (py - y0) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = ratio((px - x0) * dx + (py - y0) * dy, dx * dx + dy * dy)
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
     ex, ey = px - (x0 + t * dx), py - (y0 + t * dy)
     return F.sqrt(ex * ex + ey * ey)
@@ -280,14 +285,15 @@ def crossing_point(a: str, b: str) -> Column:
     ax0, ay0, ax1, ay1 = _ends(a)
     bx0, by0, bx1, by1 = _ends(b)
     den = (ax1 - ax0) * (by1 - by0) - (ay1 - ay0) * (bx1 - bx0)
-    t = F.try_divide((bx0 - ax0) * (by1 - by0) - (by0 - ay0) * (bx1 - bx0), den)
+    t = ratio((bx0 - ax0) * (by1 - by0) - (by0 - ay0) * (bx1 - bx0), den)
     on_a = lambda x, y: cross(ax0, ay0, ax1, ay1, x, y) == 0
     on_b = lambda x, y: cross(bx0, by0, bx1, by1, x, y) == 0
-    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    return (
-        F.when(on_b(ax0, ay0), pair(ax0, ay0)).when(on_b(ax1, ay1), pair(ax1, ay1)).when(on_a(bx0, by0), pair(bx0, by0)).when(on_a(bx1, by1), pair(bx1, by1))
-        .otherwise(pair(ax0 + t * (ax1 - ax0), ay0 + t * (ay1 - ay0)))
-    )
+    # coordinate by coordinate: a CASE of structs isn't compiled
+    hits = [(on_b(ax0, ay0), ax0, ay0), (on_b(ax1, ay1), ax1, ay1), (on_a(bx0, by0), bx0, by0), (on_a(bx1, by1), bx1, by1)]
+    x, y = ax0 + t * (ax1 - ax0), ay0 + t * (ay1 - ay0)
+    for hit, hx, hy in reversed(hits):
+        x, y = F.when(hit, hx).otherwise(x), F.when(hit, hy).otherwise(y)
+    return F.struct(x.alias("x"), y.alias("y"))
 
 
 def segment_distance(a: str, b: str) -> Column:

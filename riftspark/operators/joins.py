@@ -163,7 +163,7 @@ def inside_areas(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
     keys = points.columns
     at = points.withColumn("row", F.floor(F.col("y") / cell))
     s = sides.select(F.col("id").alias("__area"), F.col("network").alias("__network"), "row", *grid.SEGMENT)
-    x = F.col("x0") + F.try_divide((F.col("y") - F.col("y0")) * (F.col("x1") - F.col("x0")), F.col("y1") - F.col("y0"))
+    x = F.col("x0") + geom.ratio((F.col("y") - F.col("y0")) * (F.col("x1") - F.col("x0")), F.col("y1") - F.col("y0"))
     hits = at.join(s, (at["row"] == s["row"]) & (at["network"] == s["__network"]) & ((F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y"))) & (F.col("x") < x))
     return hits.groupBy(*keys, "__area").agg(F.count("*").alias("__n")).where("__n % 2 = 1").select(*keys).distinct()
 

@@ -5,6 +5,7 @@ All are one group-by on the network (and a set, bin or cell), which Spark aggreg
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -237,3 +238,43 @@ def as_columns(described: DataFrame, names: Sequence[str], parameters: Sequence[
     values = F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(f"`{p}`").cast("double").alias("value")) for p in parameters])
     long = described.select(key, F.explode(values).alias("r")).select(key, "r.parameter", "r.value")
     return long.groupBy("parameter").pivot(key, list(names)).agg(F.first("value"))
+
+
+# Directions
+
+
+def circular_mean(lines: DataFrame, column: str = "azimuth", by: Sequence[str] = ("network",)) -> DataFrame:
+    """(by, mean, spread): the direction of the sum of unit vectors, 0 to 360, and the root mean square turn from it."""
+    r = F.radians(column)
+    mean = lines.groupBy(*by).agg(F.sum(F.sin(r)).alias("s"), F.sum(F.cos(r)).alias("c")).select(*by, F.pmod(F.degrees(F.atan2("s", "c")), F.lit(360.0)).alias("mean"))
+    d = F.abs(F.col(column) - F.col("mean"))
+    turn = F.least(d, 360.0 - d)
+    return lines.join(mean, list(by)).groupBy(*by, "mean").agg(F.sqrt(F.avg(turn * turn)).alias("spread"))
+
+
+# Ternary diagrams
+
+
+def ternary_heatmap(points: DataFrame, bins: int = 40, sigma: float = 2.0, by: Sequence[str] = ("network",)) -> DataFrame:
+    """(by, i, j, n, smooth): points (p1, p2 in percent) counted in bins, and the counts smoothed by a Gaussian of so many
+    bins, cut off at four sigma. Each filled bin spreads to its neighbours by a join with the fixed kernel."""
+    width = 100.0 / bins
+    at = lambda c: F.least(F.floor(F.col(c) / width).cast("int"), F.lit(bins - 1))
+    counts = points.where("p1 is not null").groupBy(*by, at("p1").alias("i"), at("p2").alias("j")).agg(F.count("*").alias("n"))
+    reach = int(4 * sigma)
+    weights = [(k, math.exp(-k * k / (2 * sigma * sigma))) for k in range(-reach, reach + 1)]
+    total = sum(w for _, w in weights)
+    kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w / total).alias("w")) for k, w in weights])
+    spread = counts.withColumn("a", F.explode(kernel)).withColumn("b", F.explode(kernel))
+    spread = spread.select(*by, (F.col("i") + F.col("a.k")).alias("i"), (F.col("j") + F.col("b.k")).alias("j"), (F.col("n") * F.col("a.w") * F.col("b.w")).alias("v"))
+    inside = spread.where(F.col("i").between(0, bins - 1) & F.col("j").between(0, bins - 1)).groupBy(*by, "i", "j").agg(F.sum("v").alias("smooth"))
+    return inside.join(counts, [*by, "i", "j"], "left").select(*by, "i", "j", F.coalesce("n", F.lit(0)).alias("n"), "smooth")
+
+
+def random_branch_curve(points: int = 11) -> list[tuple[float, float, float]]:
+    """Shares (C-C, C-I, I-I) of branches whose ends are connected at random with probability 0, 0.1, ..., 1."""
+    out = []
+    for k in range(points):
+        p = k / (points - 1)
+        out.append((p * p, 2 * p * (1 - p), (1 - p) ** 2))
+    return out

@@ -135,3 +135,42 @@ def one_of_each(rows: DataFrame, by: list[str], seed: int = 0) -> DataFrame:
 def weighted_choice(rows: DataFrame, key: str, weight: str, k: int, seed: int = 0) -> DataFrame:
     """k rows without replacement, with chances in proportion to a weight: those of least -ln(u) / weight."""
     return rows.where(F.col(weight) > 0).orderBy(-F.log(F.greatest(uniform(seed, F.col(key).cast("string")), F.lit(1e-300))) / F.col(weight), key).limit(k)
+
+
+def sample_of_circles(samples: DataFrame, least: int, most: int, by: str = "network", seed: int = 0) -> DataFrame:
+    """A random sample of each of some groups; how many groups is random from least to most, and a group's chance is in
+    proportion to the total area of its samples."""
+    n = samples.sparkSession.range(1).select((F.lit(least) + F.floor(uniform(seed) * (most - least + 1))).cast("int").alias("n")).first()[0]
+    weights = samples.groupBy(by).agg(F.sum("Area").alias("__w"))
+    chosen = weighted_choice(weights, by, "__w", n, seed).select(by)
+    return one_of_each(samples.join(chosen, by), [by], seed)
+
+
+# Outlines
+
+
+def bounding_polygons(traces: DataFrame, factor: float = 2.0) -> DataFrame:
+    """(network, rings): the traces' box, widened about its centre by the factor; sides of no length are widened by 1."""
+    b = total_bounds(traces)
+    half = lambda a, c: F.greatest((F.col(c) - F.col(a)) / 2 * factor, F.lit(1.0))
+    mid = lambda a, c: (F.col(a) + F.col(c)) / 2
+    x0, x1 = mid("min_x", "max_x") - half("min_x", "max_x"), mid("min_x", "max_x") + half("min_x", "max_x")
+    y0, y1 = mid("min_y", "max_y") - half("min_y", "max_y"), mid("min_y", "max_y") + half("min_y", "max_y")
+    ring = F.array(*[geom.point(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+    return b.select("network", F.array(ring).alias("rings"))
+
+
+def representative_points(areas: DataFrame) -> DataFrame:
+    """(area_id, network, x, y): a point inside each polygon, the middle of its widest stretch on the line halfway up."""
+    b = geom.bounds(F.flatten("rings"))
+    # halfway between the two middle heights of corners, so that the line meets no corner
+    ys = F.array_sort(F.array_distinct(F.transform(F.flatten("rings"), lambda p: p["y"])))
+    k = F.greatest(F.floor(F.size(ys) / 2).cast("int"), F.lit(1))
+    y = (F.element_at(ys, k) + F.coalesce(F.try_element_at(ys, k + 1), F.element_at(ys, k))) / 2
+    rows = areas.withColumn("__y", y).withColumn("__s", geom.boundary_segments("rings")).withColumn("__b", b)
+    hit = F.filter("__s", lambda s: (s["y0"] > F.col("__y")) != (s["y1"] > F.col("__y")))
+    xs = F.array_sort(F.transform(hit, lambda s: s["x0"] + (F.col("__y") - s["y0"]) * (s["x1"] - s["x0"]) / (s["y1"] - s["y0"])))
+    rows = rows.withColumn("__x", xs)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__x") - 1, F.lit(1)), F.lit(2)), lambda i: F.struct((F.element_at("__x", i + 1) - F.element_at("__x", i)).alias("w"), ((F.element_at("__x", i + 1) + F.element_at("__x", i)) / 2).alias("x")))
+    widest = F.when(F.size("__x") > 1, F.array_max(pairs)["x"])
+    return rows.select("area_id", "network", F.coalesce(widest, F.col("__b.min_x")).alias("x"), F.col("__y").alias("y"))

@@ -89,6 +89,10 @@ class Network:
     def centroids(self) -> DataFrame:
         return self.areas.select("network", "area_id", geom.ring_centroid(F.col("rings")[0]).alias("c")).select("network", "area_id", "c.x", "c.y")
 
+    @property
+    def representative_points(self) -> DataFrame:
+        return sampling.representative_points(self.areas)
+
     def parameters(self) -> DataFrame:
         """One row of parameters for each network."""
         raw = self.traces.select("network", F.col("length_raw").alias("length"))
@@ -221,5 +225,8 @@ class Validation:
         self.traces, self.areas, self.fix, self.cell = traces, areas, fix, cell
         self.thresholds = thresholds or validate.Thresholds()
 
-    def run(self, rules: Sequence[str] = validate.ERRORS) -> DataFrame:
+    def run(self, rules: Sequence[str] = validate.ERRORS, allow_empty: bool = True) -> DataFrame:
+        """traces with their errors; allow_empty: else an area without traces is an error."""
+        if not allow_empty and self.areas is not None and joins.empty_area(self.traces.where("pts is not null"), self.areas, self.cell or 1.0):
+            raise ValueError("EMPTY TARGET AREA: no trace meets the areas")
         return validate.validated(self.traces, self.areas, self.cell, self.thresholds, rules, self.fix)

@@ -296,7 +296,13 @@ def snap_misses(spark, sf_dir):
     return joins.snap_errors(views.order_traces(spark, sf_dir), CELL, 0.5).select("id").distinct()
 
 
-@query()
+_P = lambda p, i, q: f"sqrt(pow({p}.x{i}-({q}.x0+least(1.0,greatest(0.0,(({p}.x{i}-{q}.x0)*({q}.x1-{q}.x0)+({p}.y{i}-{q}.y0)*({q}.y1-{q}.y0))/(({q}.x1-{q}.x0)*({q}.x1-{q}.x0)+({q}.y1-{q}.y0)*({q}.y1-{q}.y0))))*({q}.x1-{q}.x0)),2)+pow({p}.y{i}-({q}.y0+least(1.0,greatest(0.0,(({p}.x{i}-{q}.x0)*({q}.x1-{q}.x0)+({p}.y{i}-{q}.y0)*({q}.y1-{q}.y0))/(({q}.x1-{q}.x0)*({q}.x1-{q}.x0)+({q}.y1-{q}.y0)*({q}.y1-{q}.y0))))*({q}.y1-{q}.y0)),2))"
+_NEAR = "least(a.x0,a.x1) <= greatest(b.x0,b.x1)+0.5 AND least(b.x0,b.x1) <= greatest(a.x0,a.x1)+0.5 AND least(a.y0,a.y1) <= greatest(b.y0,b.y1)+0.5 AND least(b.y0,b.y1) <= greatest(a.y0,a.y1)+0.5"
+
+
+@query(f"""WITH {ORDERS_SQL}, {_MEASURED}, d AS (SELECT a.id, b.id AS o, a.az AS u, b.az AS v, CASE WHEN a.x0=a.x1 OR a.y0=a.y1 THEN 0 ELSE a.az END AS p, CASE WHEN b.x0=b.x1 OR b.y0=b.y1 THEN 0 ELSE b.az END AS q, CASE WHEN {_BOXES} AND {_cross('a', 'b', 'b', 0)}*{_cross('a', 'b', 'b', 1)} <= 0 AND {_cross('b', 'a', 'a', 0)}*{_cross('b', 'a', 'a', 1)} <= 0 THEN 0.0
+  ELSE least({_P('a', 0, 'b')}, {_P('a', 1, 'b')}, {_P('b', 0, 'a')}, {_P('b', 1, 'a')}) END AS d FROM m a JOIN m b ON a.grp = b.grp AND a.id < b.id AND {_NEAR}),
+f AS (SELECT DISTINCT unnest([id, o]) AS id FROM d WHERE d <= 0.5 AND (least(abs(u-v), 180-abs(u-v)) < 10 OR least(abs(p-q), 180-abs(p-q)) < 10)) SELECT id AS trace_id, id IN (SELECT id FROM f) AS merge FROM l""")
 def proximal_traces(spark, sf_dir):
     return joins.proximal(views.order_traces(spark, sf_dir), CELL, 0.5, 10.0).select("trace_id", "merge")
 
@@ -326,10 +332,19 @@ def ends_inside(spark, sf_dir):
     return inside.groupBy(F.col("id").alias("trace_id")).agg(F.max(F.col("end") == 0).alias("start_in"), F.max(F.col("end") == 1).alias("end_in"))
 
 
-@query()
+_MEETS = f"(x1<>x0 OR (x0 >= {BOX[0]} AND x0 <= {BOX[2]})) AND (y1<>y0 OR (y0 >= {BOX[1]} AND y0 <= {BOX[3]})) AND {_LEAVE} >= {_ENTER} AND NOT ({_IN('x0', 'y0')} AND {_IN('x1', 'y1')})"
+_EDGE = lambda x, y: f"(NOT {_IN(x, y)} AND {x} BETWEEN {BOX[0]} AND {BOX[2]} AND {y} BETWEEN {BOX[1]} AND {BOX[3]})"
+
+
+@query(f"""WITH {ORDERS_SQL}, f AS (SELECT id, {_MEETS} AS near, {_EDGE('x0', 'y0')} AND {_EDGE('x1', 'y1')} AS all_edge, {_IN('x0', 'y0')} OR {_IN('x1', 'y1')} AS inside, {_EDGE('x0', 'y0')} OR {_EDGE('x1', 'y1')} AS any_edge FROM l),
+g AS (SELECT id, near::INTEGER + (all_edge OR (NOT inside AND NOT any_edge AND near))::INTEGER AS crossings, any_edge AND NOT all_edge AS unsure FROM f)
+SELECT id AS trace_id, crossings, CASE crossings WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS weight FROM g WHERE NOT unsure""")
 def boundary_weights(spark, sf_dir):
     t = views.order_traces(spark, sf_dir)
-    return joins.boundary_counts(joins.boundary_flags(t, _box(spark, t), CELL, 0.01))
+    # ends that lie on a side count as inside or not as the ray falls: they are left out of the comparison
+    edge = lambda p: p["x"].between(BOX[0], BOX[2]) & p["y"].between(BOX[1], BOX[3]) & (p["x"].isin(BOX[0], BOX[2]) | p["y"].isin(BOX[1], BOX[3]))
+    sure = t.where(edge(geom.start("pts")) == edge(geom.end("pts")))
+    return joins.boundary_counts(joins.boundary_flags(sure, _box(spark, t), CELL, 0.01))
 
 
 @query()
@@ -404,6 +419,24 @@ def contour_grid(spark, sf_dir):
     return out.select("network", "cell_id", F.col("`Number of Traces (Real)`").cast("long").alias("n"), F.round(F.col("`Fracture Intensity P21`") * (1.5 * _W) ** 2 * 32 * F.sin(F.pi() / 32), 4).alias("total"))
 
 
+@query(f"WITH {ORDERS_SQL}, {_MEASURED}, s AS (SELECT grp, sum(sin(radians(az))) AS s, sum(cos(radians(az))) AS c FROM m GROUP BY 1), n AS (SELECT grp, CASE WHEN degrees(atan2(s, c)) < 0 THEN degrees(atan2(s, c))+360 ELSE degrees(atan2(s, c)) END AS mean FROM s) SELECT grp AS network, round(mean, 6) AS mean, round(sqrt(avg(pow(least(abs(az-mean), 360-abs(az-mean)), 2))), 6) AS spread FROM m JOIN n USING (grp) GROUP BY 1, 2")
+def circular_means(spark, sf_dir):
+    out = params.circular_mean(_measured(views.order_traces(spark, sf_dir)))
+    return out.select("network", r6("mean").alias("mean"), r6("spread").alias("spread"))
+
+
+@query(f"WITH {ORDERS_SQL}, b AS (SELECT grp, min(least(x0,x1)) AS a, min(least(y0,y1)) AS b, max(greatest(x0,x1)) AS c, max(greatest(y0,y1)) AS d FROM l GROUP BY 1) SELECT grp AS network, round(greatest(2*(c-a), 2)*greatest(2*(d-b), 2), 6) AS area FROM b")
+def bounding_areas(spark, sf_dir):
+    return sampling.bounding_polygons(views.order_traces(spark, sf_dir)).select("network", r6(geom.polygon_area("rings")).alias("area"))
+
+
+@query()
+def ternary_heatmap(spark, sf_dir):
+    m = _measured(views.order_traces(spark, sf_dir)).withColumn("k", F.col("trace_id") % 100)
+    c = m.groupBy("network", "k").agg(F.count(F.when(F.col("length") < 4, 1)).alias("a"), F.count(F.when((F.col("length") >= 4) & (F.col("length") < 8), 1)).alias("b"), F.count(F.when(F.col("length") >= 8, 1)).alias("c"))
+    return params.ternary_heatmap(params.ternary(c, ("a", "b", "c"), ["network", "k"]), by=["network"])
+
+
 @query()
 def random_circles(spark, sf_dir):
     t = views.order_traces(spark, sf_dir)
