@@ -149,3 +149,25 @@ def test_network_description_and_comparison(spark):
     assert {r["parameter"]: (r["a"], r["b"]) for r in compared} == {"Area": (100, 100), "Number of Traces (Real)": (4, 4)}
     assert net.contour_grid(4.0).count() == 8
     assert net.rose().count() and net.anisotropy().count() and net.xyi_points().count() == 2
+
+
+def test_outlines_and_inner_points(spark):
+    from riftspark.operators import sampling
+
+    ring = [(0, 0), (10, 0), (10, 4), (6, 4), (6, 1), (4, 1), (4, 4), (0, 4), (0, 0)]
+    areas = areas_from(spark, [(1, "n", [ring]), (2, "n", [BOX])])
+    inside = sampling.representative_points(areas).join(areas.select("area_id", "rings"), "area_id").select(geom.point_in_rings(F.col("x"), F.col("y"), "rings").alias("v")).collect()
+    assert [r.v for r in inside] == [True, True]
+    box = sampling.bounding_polygons(lines_from(spark, [(1, "n", [(0, 0), (4, 2)])])).select(geom.polygon_area("rings").alias("a")).first()
+    assert box.a == 8 * 4
+
+
+def test_circular_mean_and_heat_map(spark):
+    d = spark.createDataFrame([("n", 350.0), ("n", 10.0)], "network string, azimuth double")
+    r = params.circular_mean(d).first()
+    assert min(r.mean, 360 - r.mean) == pytest.approx(0, abs=1e-6) and r.spread == pytest.approx(10)
+    p = spark.createDataFrame([("n", 50.0, 20.0), ("n", 50.0, 20.0)], "network string, p1 double, p2 double")
+    heat = params.ternary_heatmap(p).collect()
+    assert sum(r.n for r in heat) == 2 and sum(r.smooth for r in heat) == pytest.approx(2.0, abs=1e-3)
+    assert params.random_branch_curve()[5] == (0.25, 0.5, 0.25)
+    assert params.connections_line(1.5)[0][0] == 0.0
