@@ -6,8 +6,8 @@ features: its format (digits, groups, separators, checksum) and its context (cha
 Boosted regression trees, one set for each kind, learn from the candidates of the whole table which of them hold a
 checked base span; a trait that the base pattern demands by itself (the plus of a phone number, ASCII letters in an
 address) is no feature of that kind, so that candidates without it but with all else alike score high. The threshold of a
-kind is the lowest score from which on at least ``precision`` of the candidates hold a base span; a kind without such a
-score adds nothing. Candidates that reach it and touch no base span are added.
+kind is the lowest score from which on at least ``precision`` of the candidates hold a base span, and of each single score at
+least half; a kind without such a score adds nothing. Candidates that reach it and touch no base span are added.
 
 Native: patterns give gaps and matches (split and regexp_extract_all), running sums of their lengths give positions, the
 trees are CASE expressions. Training data are counts of distinct feature vectors, at most ``vectors`` of the
@@ -226,11 +226,13 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, use: list[int], s: S
         t = _grow(x, weight * (y - p), weight * p * (1 - p), use, s.depth, s.rate)
         trees.append(t)
         z = z + _value(t, x)
-    order = np.argsort(-z, kind="stable")
-    hits, seen = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
-    last = np.append(z[order][1:] < z[order][:-1] - 1e-12, True)  # equal scores stand or fall together
-    good = np.flatnonzero(last & (hits >= s.precision * (seen + 1)))
-    return trees, start, float(z[order][good[-1]]) - 1e-9 if len(good) else float("inf")
+    level, at = np.unique(-np.round(z, 9), return_inverse=True)  # equal scores stand or fall together
+    hits, seen = np.bincount(at, weight * y), np.bincount(at, weight)
+    good = np.cumsum(hits) >= s.precision * (np.cumsum(seen) + 1)
+    # no level may hide behind better ones above it
+    sound = np.cumsum(2 * hits < seen) == 0
+    last = np.flatnonzero(good & sound)
+    return trees, start, float(-level[last[-1]]) - 1e-6 if len(last) else float("inf")
 
 
 def train(found: DataFrame, settings: Settings | None = None) -> Model:
