@@ -10,7 +10,7 @@ Queries come in slabs of a fixed size that are broadcast one after another; each
 returns k rows for each query, which are ranked again by query. Blocks never meet other blocks.
 
 Scores are exact integers: products are summed as doubles where no sum can reach 2^53, else as Python integers,
-held within the range of a long.
+held within the range of a long before they are ranked.
 
 Edge cases: null vectors and vectors with null or non-finite components are neither queries nor candidates; of vectors
 of unequal lengths the shorter counts as filled with zeros; rows of the query's own id are no candidates, and an id
@@ -35,6 +35,9 @@ SLAB = 16_384
 #: Blocks that a task holds at a time.
 HELD = 64
 
+#: Scores are held within the range of a long, before they are ranked.
+EDGE = 2**63 - 1
+
 INDEX = "least long, ids binary, width int, vectors binary, high binary, low binary"
 
 
@@ -125,7 +128,7 @@ class _Best:
                 at = at[low[r, at] >= cut]
                 above, tied = at[low[r, at] > cut], at[low[r, at] == cut]
                 at = np.concatenate([above, tied[np.argsort(ids[tied], kind="stable")][: self.k]])
-            got = sorted(self.found[rows[r]] + [(-int(s[r, c]), int(ids[c])) for c in at])[: self.k]
+            got = sorted(self.found[rows[r]] + [(max(-EDGE, min(EDGE + 1, -int(s[r, c]))), int(ids[c])) for c in at])[: self.k]
             self.found[rows[r]] = got
             if len(got) == self.k:
                 self.worst[rows[r]], self.worst_id[rows[r]] = float(-got[-1][0]), got[-1][1]
@@ -184,8 +187,7 @@ def search(blocks: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
                         held = []
             if held:
                 best.visit(held)
-            edge = 2**63 - 1
-            rows = [(int(q), i, max(-edge - 1, min(edge, -s))) for q, got in zip(best.ids, best.found, strict=True) for s, i in got]
+            rows = [(int(q), i, -s) for q, got in zip(best.ids, best.found, strict=True) for s, i in got]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["query_id", "vec_id", "score"])
 
