@@ -150,9 +150,13 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_multi_
         added.append(T.StructField(ids, T.ArrayType(T.IntegerType())))
     if digests:
         added += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    common.bounded_batches(df.sparkSession)
     names = {f.name.lower() for f in added}
-    rest = df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in names and not (without_text and c == text)], df[f"`{text}`"].alias("__text"))
-    schema = T.StructType([*rest.schema.fields[:-1], *added])
+    own = [c for c in df.columns if c.lower() not in names and c != text]
+    # the text is sent once, last
+    rest = df.select(*[df[f"`{c}`"] for c in own], df[f"`{text}`"])
+    kept = len(own) + (not without_text)
+    schema = T.StructType([*rest.schema.fields[:kept], *added])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
@@ -166,7 +170,7 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_multi_
                 if digests:
                     sha.append(ids_digest(got))
                     back.append(hashlib.sha256(bpe.decode(got)).hexdigest())
-            columns = [*batch.columns[:-1], pa.array(n, pa.int64())]
+            columns = [*batch.columns[:kept], pa.array(n, pa.int64())]
             if ids:
                 flat = pa.concat_arrays(all_ids) if all_ids else pa.array([], pa.int32())
                 columns.append(pa.ListArray.from_arrays(pa.array([0, *_running(n)], pa.int32()), flat))
@@ -174,7 +178,8 @@ def encode(df: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_multi_
                 columns += [pa.array(sha, pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
-    return rest.mapInArrow(run, schema)
+    out = rest.mapInArrow(run, schema)
+    return out.select(*[f"`{c}`" for c in df.columns if c in out.columns and c.lower() not in names], *[f.name for f in added])
 
 
 def _running(n: list[int]) -> Iterator[int]:

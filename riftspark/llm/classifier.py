@@ -159,6 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     """Learn from at most settings.sample labelled rows, those of the lowest hash of the key. Features are computed on
     the executors; the driver gets only them."""
     s = settings or Settings()
+    common.bounded_batches(docs.sparkSession)
     chosen = (
         labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("__label"))
         .orderBy(F.xxhash64("__key"), "__key").limit(s.sample)
@@ -179,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
 
 def apply(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, drop_text: bool = False) -> DataFrame:
     """Add score and predicted to each row. Narrow; the model is one number for each hash bucket (1 MB)."""
+    common.bounded_batches(df.sparkSession)
     rest = df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in ("score", "predicted") and not (drop_text and c == text)], df[f"`{text}`"].alias("__text"))
     schema = T.StructType([*rest.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

@@ -86,13 +86,24 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+#: Rows of an Arrow batch of texts: at 4 KB each, 8 MB, in the JVM and in Python.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark send texts to Python in small batches, unless the session has its own number of rows for that."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
 def as_bytes(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each value of a string column, null as none."""
-    for x in column.cast(pa.large_binary()):
+    for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()):
         yield x.as_py() or b""
 
 

@@ -359,6 +359,7 @@ _worker: dict[str, _Words] = {}
 def score(df: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "piece_bpe_32k.model", head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) for each row of df; training: rows to learn from."""
     spark = df.sparkSession
+    common.bounded_batches(spark)
     counts = count_words(training.select(F.col(text)))
     logp = spark.sparkContext.broadcast(fit(counts, vocabulary, rounds))
     tokens, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()

@@ -91,7 +91,7 @@ def shingles(raw: bytes, known: _Hashes, k: int = 5) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    if len(known) > 400_000:
+    if len(known) > 200_000:
         known.clear()
     w = np.fromiter(map(known.__getitem__, words), np.uint64, n)
     size = min(n, k)
@@ -324,6 +324,7 @@ def joined(links: DataFrame, labels: DataFrame, pairs: DataFrame, docs: DataFram
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
     """One row for each row of df: id, n_shingles, component_id (the smallest id reachable by links) and kept."""
     s = settings or Settings()
+    common.bounded_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = common.keep(sign(docs, s), "signed")
     usable = signed.where("n > 0 and id is not null")

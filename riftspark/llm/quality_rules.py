@@ -150,17 +150,18 @@ def judge(df: DataFrame, text: str = "text", lang: str | None = "lang", rules: R
     """Add counts, measures and the verdict ``kept`` to each row. Narrow, one pass, no shuffle."""
     rules = rules or Rules()
     with_lang = lang is not None and lang in df.columns
-    rest = df.select(
-        *[df[f"`{c}`"] for c in df.columns if c.lower() not in ADDED and not (drop_text and c == text)], df[f"`{text}`"].alias("__text"), *([df[f"`{lang}`"].cast("string").alias("__lang")] if with_lang else [])
-    )
-    own = len(rest.columns) - 1 - with_lang
-    schema = T.StructType([*rest.schema.fields[:own], *(T.StructField(k, v) for k, v in ADDED.items())])
+    common.bounded_batches(df.sparkSession)
+    own = [c for c in df.columns if c.lower() not in ADDED and c != text]
+    # language (if any) and text are sent last, the text once
+    rest = df.select(*[df[f"`{c}`"] for c in own], *([df[f"`{lang}`"].cast("string").alias("__lang")] if with_lang else []), df[f"`{text}`"])
+    fields = [*rest.schema.fields[: len(own)], *([] if drop_text else [rest.schema.fields[-1]])]
+    schema = T.StructType([*fields, *(T.StructField(k, v) for k, v in ADDED.items())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column(own + 1).to_pylist() if with_lang else [None] * batch.num_rows
+            langs = batch.column(len(own)).to_pylist() if with_lang else [None] * batch.num_rows
             out: list[list] = [[] for _ in ADDED]
-            for raw, language in zip(common.as_bytes(batch.column(own)), langs, strict=True):
+            for raw, language in zip(common.as_bytes(batch.column(batch.num_columns - 1)), langs, strict=True):
                 body = common.as_text(raw)
                 counts = base_counts(raw, body)
                 failed = counts[0] < rules.min_words or 100 * counts[4] > rules.max_repeat_percent * counts[0]
@@ -170,9 +171,11 @@ def judge(df: DataFrame, text: str = "text", lang: str | None = "lang", rules: R
                 for to, x in zip(out, (*counts, failed, kept, *measures[0][:3]), strict=True):
                     to.append(x)
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns[:own], *map(pa.array, out, kinds)], [f.name for f in schema.fields])
+            first = [*batch.columns[: len(own)], *([] if drop_text else [batch.column(batch.num_columns - 1)])]
+            yield pa.RecordBatch.from_arrays([*first, *map(pa.array, out, kinds)], [f.name for f in schema.fields])
 
-    return rest.mapInArrow(run, schema)
+    out = rest.mapInArrow(run, schema)
+    return out.select(*[f"`{c}`" for c in df.columns if c in out.columns and c.lower() not in ADDED], *ADDED)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

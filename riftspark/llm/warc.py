@@ -98,6 +98,7 @@ def plan(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "
 
 def write(planned: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the records of plan() and return their index, kept."""
+    common.bounded_batches(planned.sparkSession)
     folder = folder or f"{common.scratch_dir(planned.sparkSession)}/warc-{uuid.uuid4().hex[:12]}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
