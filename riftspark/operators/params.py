@@ -127,10 +127,7 @@ def topology_parameters(traces: DataFrame, areas: DataFrame, nodes: DataFrame |
 
 def set_table(lines: DataFrame, column: str, names: Sequence[str], by: Sequence[str] = ("network",)) -> DataFrame:
     """Count, total length and share of each configured set in each group, zero where there is none."""
-    spark = lines.sparkSession
-    groups = lines.select(*by).distinct()
-    all_names = spark.createDataFrame([(n,) for n in names], f"{column} string")
-    every = groups.crossJoin(F.broadcast(all_names))  # groups times a handful of configured names
+    every = lines.select(*by).distinct().withColumn(column, F.explode(F.array(*map(F.lit, names))))
     sums = lines.groupBy(*by, column).agg(F.count("*").alias("n"), F.sum("length").alias("total"))
     out = every.join(sums, [*by, column], "left").fillna({"n": 0, "total": 0.0})
     whole = Window.partitionBy(*by)

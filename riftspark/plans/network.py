@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riftspark.functions import geom
@@ -37,7 +37,7 @@ class Network:
         plain = traces.withColumn("pts", geom.drop_z("pts"))
         if truncate:
             parts = overlay.clip(plain, areas, self.cell)
-            plain = parts.withColumn("source_id", F.col("trace_id")).withColumn("trace_id", F.when(F.col("piece") == F.min("piece").over(_of("trace_id")), F.col("trace_id")).otherwise(-F.abs(F.xxhash64("trace_id", "piece")))).drop("piece")
+            plain = parts.withColumn("source_id", F.col("trace_id")).withColumn("trace_id", F.when(F.col("piece") == F.min("piece").over(Window.partitionBy("trace_id")), F.col("trace_id")).otherwise(-F.abs(F.xxhash64("trace_id", "piece")))).drop("piece")
             plain = cut(plain)
         self._plain = plain
 
@@ -184,12 +184,6 @@ class Network:
         }
 
 
-def _of(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 class MultiNetwork:
     """Results over several networks of one table."""
 
@@ -207,7 +201,7 @@ class MultiNetwork:
         """The joint straight line of each azimuth set over all networks."""
         lines = self.network.branches if branches else self.network.traces
         by = ["network", "azimuth_set"]
-        areas = self.network.area.crossJoin(F.broadcast(lines.sparkSession.createDataFrame([(n,) for n in self.network.azimuth_sets[0]], "azimuth_set string")))
+        areas = self.network.area.withColumn("azimuth_set", F.explode(F.array(*map(F.lit, self.network.azimuth_sets[0]))))
         return lengths.loglog_fit(lengths.ccm(lines, by, areas), ["azimuth_set"])
 
     def compared(self, names: Sequence[str], parameters: Sequence[str]) -> DataFrame:
