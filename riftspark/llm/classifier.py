@@ -35,6 +35,8 @@ class Settings:
     dim: int = 12
     grams: tuple[int, int] = (3, 5)
     epochs: int = 6
+    #: Few rows are gone through more often, up to so many steps, but at most 60 times.
+    steps: int = 6000
     rate: float = 0.5
     seed: int = 7
     #: Words whose sums a worker remembers at a time.
@@ -131,8 +133,9 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s: Se
     out = np.zeros((s.dim, 2), np.float32)
     bias = np.array([-prior / 2, prior / 2], np.float32)
     if 0 < ones < n:
-        steps, step = s.epochs * n, 0
-        for _ in range(s.epochs):
+        epochs = max(s.epochs, min(60, -(-s.steps // n)))
+        steps, step = epochs * n, 0
+        for _ in range(epochs):
             for i in rng.permutation(n):
                 ids, times = features[i]
                 rate = s.rate * (1 - step / steps)
