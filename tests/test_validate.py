@@ -15,6 +15,10 @@ def errors(spark, rows, areas=None, t=T):
     return {r.trace_id: r.errors for r in df.collect()}
 
 
+def row_errors(spark, pts):
+    return validate.with_row_errors(lines_from(spark, [(1, "n", pts)]), T).first().errors
+
+
 def test_good_traces(spark):
     assert errors(spark, [(1, "n", [(0, 0), (4, 0)]), (2, "n", [(1, -1), (1, 1)])]) == {1: [], 2: []}
 
@@ -24,12 +28,12 @@ def test_good_traces(spark):
     [([(0, 0), (2, 0), (2, 2), (1, -1)], True), ([(0, 0), (1, 0), (1, 1), (0, 0)], True), ([(0, 0), (1, 0), (2, 0)], False), ([(0, 0), (2, 0), (1, 0)], True), ([(0, 0), (1, 0)], False)],
 )
 def test_cuts_itself(spark, pts, cuts):
-    assert ("CUTS ITSELF" in errors(spark, [(1, "n", pts)])[1]) is cuts
+    assert ("CUTS ITSELF" in row_errors(spark, pts)) is cuts
 
 
 @pytest.mark.parametrize(("pts", "sharp"), [([(0, 0), (1, 0), (0.5, 0.1), (2, 0)], True), ([(0, 0), (1, 0), (2, 0.5)], False), ([(0, 0), (1, 0)], False), ([(0, 0), (1, 1), (2, 0), (3, 1)], False)])
 def test_sharp_turns(spark, pts, sharp):
-    assert ("SHARP TURNS" in errors(spark, [(1, "n", pts)])[1]) is sharp
+    assert ("SHARP TURNS" in row_errors(spark, pts)) is sharp
 
 
 def test_null_and_multi_part_geometry(spark):
