@@ -1,13 +1,16 @@
 r"""Operator 10: personal data by candidate gradient boosting.
 
 Base spans come from four patterns with their checks. Broader generators then propose candidates (anything with an @ in its
-middle, any run of digit groups), which overlap base spans and each other. A candidate has small integers as
+middle, any run of digit groups), which overlap base spans and each other. Where base spans are cut off, each run of
+neighbouring digit groups with at most 19 digits that could be of some kind by its digits is a candidate, too. A candidate has small integers as
 features: its format (digits, groups, separators, checksum) and its context (characters around it, a telling word before it).
 Boosted regression trees, one set for each kind, learn from the candidates of the whole table which of them hold a
 checked base span; a trait that the base pattern demands by itself (the plus of a phone number, ASCII letters in an
 address) is no feature of that kind, so that candidates without it but with all else alike score high. The threshold of a
 kind is the lowest score from which on at least ``precision`` of the candidates hold a base span, and of each single score at
-least half; a kind without such a score adds nothing. Candidates that reach it and touch no base span are added.
+least half; a kind without such a score adds nothing. Candidates that reach it and touch no base span are added; of those
+that overlap, addresses come first, then runs of groups, then undivided numbers, each by kind, score, size and place. That
+compares the passing candidates of one cluster (in redaction, of one text) with the chosen ones, pair by pair.
 
 Native: patterns give gaps and matches (split and regexp_extract_all), running sums of their lengths give positions, the
 trees are CASE expressions. Training data are counts of distinct feature vectors, at most ``vectors`` of the
@@ -41,6 +44,12 @@ PATTERNS = {
 #: Candidates: something on both sides of an @, and digit groups with up to two separators between them.
 ADDRESS = r"(?:(?<![^\x20\x09-\x0D@,;:<>()\[\]\x22])|\G)[^\x20\x09-\x0D@,;:<>()\[\]\x22]++@[^\x20\x09-\x0D@,;:<>()\[\]\x22]++"
 NUMBER = r"[+(]?[0-9](?:[\x20().:/-]{0,2}+[0-9])++"
+#: A digit group with what may open a number before it, and what may stand between two groups of a run.
+GROUP = r"[+(]?[0-9]++"
+BETWEEN = r"^[\x20().:/-]{0,2}$"
+RUN_DIGITS = 19
+_MASK = "\ufffc"
+_NAME = r"\[(?:EMAIL|IP|CARD|PHONE)\]"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _TELLING = {1: "tel|phone|fon|fax|call|mobil|llam", 2: "card|visa|carte|tarjeta|karte|iban", 3: r"\bip|host|addr|server", 4: "mail|contact|kontakt|correo"}
 
@@ -104,7 +113,8 @@ def features(match: Column, gap: Column, after: Column, address: bool) -> Column
     number = digits(match)
     n = F.length(number)
     runs = F.filter(F.split(match, "[^0-9]+"), lambda x: x != "")
-    near = F.lower(F.right(gap, F.lit(24)))
+    # spans that are masked or redacted already tell nothing
+    near = F.lower(F.right(F.regexp_replace(F.right(gap, F.lit(64)), f"{_MASK}+|{_NAME}", ""), F.lit(24)))
     telling = F.lit(0)
     for code, words in _TELLING.items():
         telling = F.when(near.rlike(words), code).otherwise(telling)
@@ -129,14 +139,87 @@ def _holds(kind: str, match: Column) -> Column:
     return F.exists(F.regexp_extract_all(match, F.lit(PATTERNS[kind]), F.lit(0)), lambda m: passes(kind, m))
 
 
+def _labels(match: Column, address: bool) -> Column:
+    return F.array(*[(_holds(kind, match) if (kind == "email") == address else F.lit(False)).cast("int") for kind in KINDS])
+
+
+def could_be(kind: str, match: Column) -> Column:
+    """Whether the digits of a whole candidate are valid for a kind, whatever stands between or before them."""
+    if kind == "ip":
+        return passes(kind, match)
+    n = F.length(digits(match))
+    return n.between(10, 15) if kind == "phone" else F.when(n.between(14, 19), luhn(digits(match))).otherwise(False)
+
+
+def grouped(df: DataFrame, text: Column) -> DataFrame:
+    """df with the digit groups of a text as __m, the gaps around them as __g, both in turn as __p, the groups' numbers of
+    digits as __d, and as __b whether a group goes on from the one before it."""
+    gaps, groups = _split(text, GROUP)
+    out = df.withColumn("__g", gaps).withColumn("__m", groups)
+    goes_on = lambda m, i: F.concat(F.get("__g", i), F.when(F.startswith(m, F.lit("(")), "(").otherwise("")).rlike(BETWEEN) & ~F.startswith(m, F.lit("+"))
+    out = out.withColumn("__p", F.flatten(F.transform("__g", lambda g, i: F.array(g, F.coalesce(F.get("__m", i), F.lit(""))))))
+    return out.withColumn("__d", F.transform("__m", lambda m: F.length(digits(m)))).withColumn("__b", F.transform("__m", goes_on))
+
+
+_RUNS = "array<struct<groups: int, size: bigint, whole: boolean, features: array<int>, labels: array<int>>>"
+
+
+def runs(i: Column) -> Column:
+    """(groups, size, whole, features, labels) of the runs from group i on that could be of some kind; see grouped()."""
+    ahead = F.slice("__b", i + 2, RUN_DIGITS - 1)
+    stop = F.array_position(ahead, F.lit(False)).cast("int")
+    more = F.when(stop == 0, F.size(ahead)).otherwise(stop - 1)
+    joined = lambda first, n: F.array_join(F.slice("__p", first, n), "")
+
+    def seen(e: Column) -> Column:
+        n = F.aggregate(F.slice("__d", i + 1, e + 1), F.lit(0), lambda a, b: a + b)
+        return F.struct(e.alias("e"), F.when((n <= RUN_DIGITS) & ((n >= 10) | (e == 3)), joined(2 * i + 2, 2 * e + 1)).alias("text"))
+
+    def whole(e: Column) -> Column:
+        begins, ends = F.get("__b", i), F.coalesce(F.get("__b", i + e + 1), F.lit(False))
+        return ~(begins | ends | F.endswith(F.get("__g", i), F.lit(_MASK)) | F.startswith(F.get("__g", i + e + 1), F.lit(_MASK)))
+
+    def described(c: Column) -> Column:
+        first = F.greatest(2 * i + 2 - 2 * RUN_DIGITS, F.lit(1))
+        gap = F.array_join(F.transform(F.slice("__p", first, 2 * i + 2 - first), lambda x: F.right(x, F.lit(64))), "")
+        after = F.concat(*[F.coalesce(F.get("__p", 2 * (i + c["e"]) + k), F.lit("")) for k in (2, 3)])
+        around = F.array(F.struct(c["text"].alias("text"), gap.alias("gap"), after.alias("after")))
+        found = F.transform(around, lambda a: F.struct((c["e"] + 1).alias("groups"), F.char_length(a["text"]).cast("long").alias("size"), whole(c["e"]).alias("whole"), features(a["text"], a["gap"], a["after"], False).alias("features"), _labels(a["text"], False).alias("labels")))
+        return found[0]
+
+    some = F.filter(F.transform(F.sequence(F.lit(0), more), seen), lambda c: c["text"].isNotNull() & (could_be("ip", c["text"]) | could_be("card", c["text"]) | could_be("phone", c["text"])))
+    none = F.array().cast(_RUNS)
+    return F.when((more > 0) | (F.get("__d", i) >= 10), F.transform(some, described)).otherwise(none)
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """(row, kind, pos, skip, size, ok, features, labels) of all base matches and candidates of (row, text). kind is the
-    place in KINDS, 4 and 5 are the generators."""
+    """(row, kind, pos, skip, size, ok, features, labels, runs) of all base matches and candidates of (row, text). kind is the
+    place in KINDS, 4 and 5 are the generators, 6 has the digit groups left between base spans with the runs that begin there."""
     out = rows
     for i, pattern in enumerate([*PATTERNS.values(), ADDRESS, NUMBER]):
         gaps, matches = _split(F.col("text"), pattern)
         out = out.withColumn(f"g{i}", gaps).withColumn(f"m{i}", matches)
-    return out.select("row", F.explode(F.concat(*[_found(i) for i in range(6)])).alias("c")).select("row", "c.*")
+    # runs lie within the numbers; only texts with numbers of enough digits are looked at
+    long = F.exists("m5", lambda m: (F.length(digits(m)) >= 10) | could_be("ip", m) | m.rlike(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]"))
+    out = out.withColumn("__t", F.when(long, F.col("text")).otherwise(""))
+    for kind, pattern in PATTERNS.items():
+        gaps, matches = _split(F.col("__t"), pattern)
+        out = out.withColumn("__g", gaps).withColumn("__m", matches)
+        masked = _replaced(lambda m, gap, after, kind=kind: F.when(passes(kind, m), F.repeat(F.lit(_MASK), F.char_length(m))))
+        out = out.withColumn("__t", F.concat(F.element_at("__g", 1), F.array_join(masked, ""))).drop("__g", "__m")
+    out = grouped(out, F.col("__t"))
+    return out.select("row", F.explode(F.concat(*[_found(i) for i in range(6)], _groups())).alias("c")).select("row", "c.*")
+
+
+def _groups() -> Column:
+    """The digit groups as structs like those of _found()."""
+    none = F.array(F.lit(0)).cast("array<int>")
+
+    def one(m: Column, k: Column) -> Column:
+        lengths = F.char_length(F.get("__g", k)).cast("long").alias("skip"), F.char_length(m).cast("long").alias("size")
+        return F.struct(F.lit(6).alias("kind"), k.alias("pos"), *lengths, F.lit(True).alias("ok"), none.alias("features"), none.alias("labels"), runs(k).alias("runs"))
+
+    return F.transform("__m", one)
 
 
 def _found(i: int) -> Column:
@@ -147,9 +230,9 @@ def _found(i: int) -> Column:
         gap = F.element_at(g, k + 1)
         ok = passes(KINDS[i], m) if i < 4 else F.lit(True)
         found = none if i < 4 else features(m, gap, F.element_at(g, k + 2), i == 4)
-        labels = none if i < 4 else F.array(*[(_holds(kind, m) if (kind == "email") == (i == 4) else F.lit(False)).cast("int") for kind in KINDS])
+        labels = none if i < 4 else _labels(m, i == 4)
         lengths = F.char_length(gap).cast("long").alias("skip"), F.char_length(m).cast("long").alias("size")
-        return F.struct(F.lit(i).alias("kind"), k.alias("pos"), *lengths, ok.alias("ok"), found.alias("features"), labels.alias("labels"))
+        return F.struct(F.lit(i).alias("kind"), k.alias("pos"), *lengths, ok.alias("ok"), found.alias("features"), labels.alias("labels"), F.lit(None).cast(_RUNS).alias("runs"))
 
     return F.transform(F.col(f"m{i}"), one)
 
@@ -174,11 +257,12 @@ class Model:
         return total
 
     def adds(self, found: Column, kinds: tuple[str, ...]) -> Column:
-        """The first of the kinds whose threshold the candidate reaches, as a place in KINDS, or null."""
-        out = F.lit(None).cast("int")
+        """The first of the kinds whose threshold the candidate reaches, as a place in KINDS (as), and its score; or nulls."""
+        out = F.lit(None).cast("struct<as: int, score: double>")
         for kind in reversed(kinds):
             if self.threshold[kind] < float("inf"):
-                out = F.when(self.score(kind, found) >= self.threshold[kind], KINDS.index(kind)).otherwise(out)
+                score = self.score(kind, found)
+                out = F.when(score >= self.threshold[kind], F.struct(F.lit(KINDS.index(kind)).alias("as"), score.alias("score"))).otherwise(out)
         return out
 
 
@@ -238,7 +322,10 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, use: list[int], s: S
 def train(found: DataFrame, settings: Settings | None = None) -> Model:
     """Boost on the candidates of a table of candidates()."""
     s = settings or Settings()
-    counts = found.where("kind >= 4").groupBy("features", "labels").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "features", "labels").limit(s.vectors).toArrow()
+    single = found.where("kind between 4 and 5").select("features", "labels")
+    # a run that is the whole of a number is there already
+    parts = found.where("kind = 6").select(F.explode("runs").alias("r")).where("not r.whole").select("r.features", "r.labels")
+    counts = single.unionByName(parts).groupBy("features", "labels").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "features", "labels").limit(s.vectors).toArrow()
     model = Model({}, {}, {})
     x = np.array(counts["features"].to_pylist(), np.int64).reshape(-1, len(FEATURES))
     y = np.array(counts["labels"].to_pylist(), np.float64).reshape(-1, len(KINDS))
@@ -254,6 +341,21 @@ def _maybe(text: Column) -> Column:
     return F.coalesce(text.rlike("[0-9@]"), F.lit(False))
 
 
+NUMBERS = ("ip", "card", "phone")
+
+
+def _rank(generator: Column, kind: Column, score: Column, size: Column, start: Column) -> tuple[Column, ...]:
+    """What orders overlapping candidates, the best first."""
+    return (F.when(generator == 6, 1).when(generator == 5, 2).otherwise(0).alias("o"), kind.alias("k"), (-score).alias("s"), (-size).alias("n"), start.cast("long").alias("at"))
+
+
+def standing(ranked: Column) -> Column:
+    """Those of ranked candidates (..., first, stop, as) that overlap no better one that stands itself."""
+    one = F.slice(ranked, 1, 0)
+    free = lambda kept, c: ~F.exists(kept, lambda k: (k["first"] < c["stop"]) & (c["first"] < k["stop"]))
+    return F.aggregate(ranked, one, lambda kept, c: F.when(free(kept, c), F.concat(kept, F.array(c))).otherwise(kept))
+
+
 def find(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
     """One row for each row of df: key, counts by kind, base (the base spans as text), spans (all spans as text)."""
     some = common.keep(df.where(_maybe(F.col(text))).select(F.col(key), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "flagged")
@@ -262,15 +364,27 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Setti
     running = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("skip") + F.col("size")).over(running)
     placed = found.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).where("ok")
-    added = F.when(F.col("kind") == 4, model.adds(F.col("features"), ("email",))).when(F.col("kind") == 5, model.adds(F.col("features"), ("ip", "card", "phone")))
-    kind = F.when(F.col("kind") < 4, F.col("kind")).otherwise(added)
-    chosen = placed.select("row", (F.col("kind") < 4).alias("base"), kind.alias("as"), "start", "end").where(F.col("as").isNotNull())
+    parts = placed.where("kind = 6 and size(runs) > 0").select("row", "start", F.explode("runs").alias("r")).select("row", F.lit(6).alias("kind"), "start", (F.col("start") + F.col("r.size")).alias("end"), "r.features")
+    every = placed.where("kind < 6").select("row", "kind", "start", "end", "features").unionByName(parts)
+    added = F.when(F.col("kind") == 4, model.adds(F.col("features"), ("email",))).when(F.col("kind") >= 5, model.adds(F.col("features"), NUMBERS))
+    every = every.withColumn("added", F.when(F.col("kind") >= 4, added))
+    kind = F.when(F.col("kind") < 4, F.col("kind")).otherwise(F.col("added.as"))
+    chosen = every.select("row", (F.col("kind") < 4).alias("base"), kind.alias("as"), "start", "end", F.col("kind").alias("from"), F.col("added.score").alias("score")).where(F.col("as").isNotNull())
     # a base span that reaches over an added one, from either side
     in_row = Window.partitionBy("row").orderBy("start")
     reach = F.max(F.when(F.col("base"), F.col("end"))).over(in_row.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     ahead = F.min(F.when(F.col("base"), F.col("start"))).over(in_row.rangeBetween(Window.currentRow, Window.unboundedFollowing))
     touched = (F.coalesce(reach, F.lit(0).cast("long")) > F.col("start")) | (F.coalesce(ahead, F.col("end")) < F.col("end"))
     kept = chosen.withColumn("touched", touched).where("base or not touched")
+    new = kept.where("not base")
+    # clusters of added spans that overlap, and what stands of each
+    before = F.max("end").over(Window.partitionBy("row").orderBy("start", "end", "from").rowsBetween(Window.unboundedPreceding, -1))
+    ordered = Window.partitionBy("row").orderBy("start", "end", "from")
+    new = new.withColumn("opens", F.coalesce(before <= F.col("start"), F.lit(True)).cast("int")).withColumn("cluster", F.sum("opens").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rank = _rank(F.col("from"), F.col("as"), F.col("score"), F.col("end") - F.col("start"), F.col("start"))
+    stands = new.groupBy("row", "cluster").agg(standing(F.array_sort(F.collect_list(F.struct(*rank, F.col("start").alias("first"), F.col("end").alias("stop"), F.col("as").alias("as"))))).alias("c"))
+    stands = stands.select("row", F.explode("c").alias("c")).select("row", F.lit(False).alias("base"), "c.as", F.col("c.first").alias("start"), F.col("c.stop").alias("end"))
+    kept = kept.where("base").select("row", "base", "as", "start", "end").unionByName(stands)
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("as") + 1)
     span = F.struct("start", "as", "end", F.concat_ws(":", name, F.col("start").cast("string"), F.col("end").cast("string")).alias("said"))
     said = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["said"]), ",")
@@ -294,22 +408,51 @@ def redact(df: DataFrame, text: str = "text", settings: Settings | None = None)
     flag = _maybe(F.col(f"`{text}`"))
     out = df.withColumn("__t", F.when(flag, F.col(f"`{text}`")))
     steps: list[tuple[str, object]] = [(PATTERNS[k], (lambda m, gap, after, k=k: F.when(passes(k, m), f"[{k.upper()}]"))) for k in KINDS]
-    for pattern, address, kinds in ((ADDRESS, True, ("email",)), (NUMBER, False, ("ip", "card", "phone"))):
+    for pattern, address, kinds in ((ADDRESS, True, ("email",)), (GROUP, False, NUMBERS), (NUMBER, False, NUMBERS)):
         if any(model.threshold[k] < float("inf") for k in kinds):
 
             def added(m: Column, gap: Column, after: Column, address: bool = address, kinds: tuple = kinds) -> Column:
                 # bound once: the trees name a feature hundreds of times
-                which = F.transform(F.array(features(m, gap, after, address)), lambda f: model.adds(f, kinds))[0]
-                return F.when(which.isNotNull(), F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), which + 1))
+                which = F.transform(F.array(features(m, gap, after, address)), lambda f: model.adds(f, kinds)["as"])[0]
+                # what is left of a number beside a span counts by its runs only
+                rest = F.lit(False) if address else gap.rlike(rf"{_NAME}[\x20().:/-]{{0,2}}$") | after.rlike(rf"^[\x20().:/-]{{0,2}}{_NAME}")
+                return F.when(which.isNotNull() & ~rest, F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), which + 1))
 
             steps.append((pattern, added))
     for pattern, replaced in steps:
+        if pattern == GROUP:
+            out = _without_runs(out, model)
+            continue
         gaps, matches = _split(F.col("__t"), pattern)
         out = out.withColumn("__g", gaps).withColumn("__m", matches)
         out = out.withColumn("__t", F.when(F.col("__t").isNotNull(), F.concat(F.element_at("__g", 1), F.array_join(_replaced(replaced), "")))).drop("__g", "__m")
     return out.select(*[(F.coalesce("__t", F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`")) for c in df.columns])
 
 
+def _without_runs(df: DataFrame, model: Model) -> DataFrame:
+    """df with the runs of digit groups in __t that the model adds replaced."""
+    own = df.columns
+    out = grouped(df, F.col("__t"))
+
+    def passing(m: Column, i: Column) -> Column:
+        scored = F.transform(runs(i), lambda r: F.struct(r["groups"].alias("groups"), r["size"].alias("size"), model.adds(r["features"], NUMBERS).alias("a")))
+        best = lambda r: F.struct(*_rank(F.lit(6), r["a"]["as"], r["a"]["score"], r["size"], i), i.alias("first"), (i + r["groups"]).alias("stop"), r["a"]["as"].alias("as"))
+        return F.transform(F.filter(scored, lambda r: r["a"].isNotNull()), best)
+
+    out = out.withColumn("__r", F.flatten(F.transform("__m", passing)))
+    out = out.withColumn("__k", standing(F.array_sort("__r")))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def one(m: Column, i: Column) -> Column:
+        within = F.filter("__k", lambda k: (k["first"] <= i) & (i < k["stop"]))
+        after = F.when(F.exists(within, lambda k: i + 1 < k["stop"]), "").otherwise(F.get("__g", i + 1))
+        shown = F.when(F.size(within) == 0, m).when(within[0]["first"] == i, F.element_at(names, within[0]["as"] + 1)).otherwise("")
+        return F.concat(shown, after)
+
+    changed = F.concat(F.element_at("__g", 1), F.array_join(F.transform("__m", one), ""))
+    return out.withColumn("__t", F.when(F.size("__k") > 0, changed).otherwise(F.col("__t"))).select(*[F.col(f"`{c}`") for c in own])
+
+
 def _replaced(by) -> Column:
     """The matches __m, or what they are replaced by, each with the gap after it."""
     g = F.col("__g")

@@ -76,3 +76,16 @@ def test_redaction(spark):
 @pytest.mark.parametrize(("number", "ok"), [("4111111111111111", True), ("4111111111111112", False), ("79927398713", True), ("0", True)])
 def test_luhn(spark, number, ok):
     assert spark.range(1).select(pii.luhn(F.lit(number)).alias("v")).first().v is ok
+
+
+def test_numbers_side_by_side_are_candidates_too(spark):
+    texts = [f"card {c} ok" for c in ("4465758382889437", "7536784127813050") for _ in range(100)]
+    both = "see 4465758382889437 4465758382889437 there"
+    texts += [both, "card 4465758382889437 and +1 (988) 555-2485/4465758382889437, no", "4465758382889437 4845168114407328 x"]
+    df = frame(spark, texts)
+    got = {r.doc_id: r for r in pii.find(df).collect()}
+    assert got[200].base == "" and got[200].spans == "card:4:20,card:21:37"
+    assert got[202].spans == "card:0:16"
+    assert all(got[i].spans == got[i].base for i in range(200))
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[200] == "see [CARD] [CARD] there" and clean[202] == "[CARD] 4845168114407328 x"
