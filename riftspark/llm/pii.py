@@ -6,9 +6,10 @@ neighbouring digit groups with at most 19 digits that could be of some kind by i
 features: its format (digits, groups, separators, checksum) and its context (characters around it, a telling word before it).
 Boosted regression trees, one set for each kind, learn from the candidates of the whole table which of them hold a
 checked base span; a trait that the base pattern demands by itself (the plus of a phone number, ASCII letters in an
-address) is no feature of that kind, so that candidates without it but with all else alike score high. The threshold of a
-kind is the lowest score from which on at least ``precision`` of the candidates hold a base span, and of each single score at
-least half; a kind without such a score adds nothing. Candidates that reach it and touch no base span are added; of those
+address) is no feature of that kind, so that candidates without it but with all else alike score high. Candidates that hold no
+base span of a kind, but whose digits or domain are valid for it, have no label: they may be what the base misses. The
+threshold of a kind is the lowest score from which on at least ``precision`` of the labelled candidates hold a base span, and
+of each single score at least half of all whole candidates, so that those without a label are never the most of it; a kind without such a score adds nothing. Candidates that reach it and touch no base span are added; of those
 that overlap, addresses come first, then runs of groups, then undivided numbers, each by kind, score, size and place. That
 compares the passing candidates of one cluster (in redaction, of one text) with the chosen ones, pair by pair.
 
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
+NUMBERS = KINDS[1:]
 
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -139,8 +141,25 @@ def _holds(kind: str, match: Column) -> Column:
     return F.exists(F.regexp_extract_all(match, F.lit(PATTERNS[kind]), F.lit(0)), lambda m: passes(kind, m))
 
 
-def _labels(match: Column, address: bool) -> Column:
-    return F.array(*[(_holds(kind, match) if (kind == "email") == address else F.lit(False)).cast("int") for kind in KINDS])
+#: What a candidate without a label has in its place: a whole one, and a part of a number, which overlaps others.
+OPEN, OPEN_PART = -1, -2
+
+
+def _labels(match: Column, address: bool, part: bool = False) -> Column:
+    """1 for candidates that hold a checked base match of a kind, 0 for those that can't be of it, else OPEN."""
+    valid = {"email": valid_domain(match)} if address else {k: could_be(k, match) for k in NUMBERS}
+    if not address:
+        # what holds a base match of another kind is none
+        valid["phone"] = valid["phone"] & ~_holds("card", match) & ~_holds("ip", match)
+    open_ = OPEN_PART if part else OPEN
+    return F.array(*[F.when(_holds(k, match), 1).when(valid[k], open_).otherwise(0) if k in valid else F.lit(0) for k in KINDS])
+
+
+def valid_domain(match: Column) -> Column:
+    """Whether a candidate ends in a domain of letters and digits of any script, full stops after it aside."""
+    domain = F.regexp_replace(F.substring_index(match, "@", -1), r"[.!?]++$", "")
+    top = F.substring_index(domain, ".", -1)
+    return domain.rlike(r"^[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}.-]*+$") & domain.contains(".") & ~domain.contains("..") & top.rlike(r"^[\p{L}\p{M}]{2,}+$")
 
 
 def could_be(kind: str, match: Column) -> Column:
@@ -184,7 +203,7 @@ def runs(i: Column) -> Column:
         gap = F.array_join(F.transform(F.slice("__p", first, 2 * i + 2 - first), lambda x: F.right(x, F.lit(64))), "")
         after = F.concat(*[F.coalesce(F.get("__p", 2 * (i + c["e"]) + k), F.lit("")) for k in (2, 3)])
         around = F.array(F.struct(c["text"].alias("text"), gap.alias("gap"), after.alias("after")))
-        found = F.transform(around, lambda a: F.struct((c["e"] + 1).alias("groups"), F.char_length(a["text"]).cast("long").alias("size"), whole(c["e"]).alias("whole"), features(a["text"], a["gap"], a["after"], False).alias("features"), _labels(a["text"], False).alias("labels")))
+        found = F.transform(around, lambda a: F.struct((c["e"] + 1).alias("groups"), F.char_length(a["text"]).cast("long").alias("size"), whole(c["e"]).alias("whole"), features(a["text"], a["gap"], a["after"], False).alias("features"), _labels(a["text"], False, part=True).alias("labels")))
         return found[0]
 
     some = F.filter(F.transform(F.sequence(F.lit(0), more), seen), lambda c: c["text"].isNotNull() & (could_be("ip", c["text"]) | could_be("card", c["text"]) | could_be("phone", c["text"])))
@@ -299,22 +318,27 @@ def _value(t, x: np.ndarray) -> np.ndarray:
 
 
 def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, use: list[int], s: Settings) -> tuple[list, float, float]:
-    """Trees, start and calibrated threshold of weighted rows."""
-    positive = float((weight * y).sum())
+    """Trees, start and calibrated threshold of weighted rows; y is 1, 0 or one of the two values of rows without a label."""
+    known = y >= 0
+    positive = float(weight[y == 1].sum())
     if not positive:
         return [], 0.0, float("inf")
-    start = float(np.log((positive + 0.5) / (weight.sum() - positive + 0.5)))
-    z, trees = np.full(len(x), start), []
+    fit, label, w = x[known], y[known], weight[known]
+    start = float(np.log((positive + 0.5) / (w.sum() - positive + 0.5)))
+    z, trees = np.full(len(fit), start), []
     for _ in range(s.rounds):
         p = 1 / (1 + np.exp(-z))
-        t = _grow(x, weight * (y - p), weight * p * (1 - p), use, s.depth, s.rate)
+        t = _grow(fit, w * (label - p), w * p * (1 - p), use, s.depth, s.rate)
         trees.append(t)
+        z = z + _value(t, fit)
+    z = np.full(len(x), start)
+    for t in trees:
         z = z + _value(t, x)
     level, at = np.unique(-np.round(z, 9), return_inverse=True)  # equal scores stand or fall together
-    hits, seen = np.bincount(at, weight * y), np.bincount(at, weight)
+    hits, seen, whole = (np.bincount(at, weight * m) for m in (y == 1, known, y >= OPEN))
     good = np.cumsum(hits) >= s.precision * (np.cumsum(seen) + 1)
     # no level may hide behind better ones above it
-    sound = np.cumsum(2 * hits < seen) == 0
+    sound = np.cumsum(2 * hits < whole) == 0
     last = np.flatnonzero(good & sound)
     return trees, start, float(-level[last[-1]]) - 1e-6 if len(last) else float("inf")
 
@@ -341,9 +365,6 @@ def _maybe(text: Column) -> Column:
     return F.coalesce(text.rlike("[0-9@]"), F.lit(False))
 
 
-NUMBERS = ("ip", "card", "phone")
-
-
 def _rank(generator: Column, kind: Column, score: Column, size: Column, start: Column) -> tuple[Column, ...]:
     """What orders overlapping candidates, the best first."""
     return (F.when(generator == 6, 1).when(generator == 5, 2).otherwise(0).alias("o"), kind.alias("k"), (-score).alias("s"), (-size).alias("n"), start.cast("long").alias("at"))

@@ -89,3 +89,13 @@ def test_numbers_side_by_side_are_candidates_too(spark):
     assert all(got[i].spans == got[i].base for i in range(200))
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert clean[200] == "see [CARD] [CARD] there" and clean[202] == "[CARD] 4845168114407328 x"
+
+
+def test_a_third_without_the_demanded_trait(spark):
+    texts = [f"call tel. +1 ({200 + k}) 555-{1000 + k} now" for k in range(200)] + [f"call tel. 1 ({200 + k}) 555-{3000 + k} now" for k in range(100)]
+    texts += [f"mail to user{k}@example.org now" for k in range(200)] + [f"mail to user{k}@exämple.org now" for k in range(100)]
+    texts += [f"on 2024-{1 + k % 12:02}-15 see page {k + 10} of 345, @x@y" for k in range(60)]
+    got = {r.doc_id: r.spans for r in pii.find(frame(spark, texts)).collect()}
+    assert [got[200 + k] for k in range(100)] == ["phone:10:26"] * 100
+    assert [got[500 + k] for k in range(100)] == [f"email:8:{texts[500 + k].index(' now')}" for k in range(100)]
+    assert {got[600 + k] for k in range(60)} == {""}
