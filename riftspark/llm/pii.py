@@ -14,8 +14,9 @@ that overlap, addresses come first, then runs of groups, then undivided numbers,
 compares the passing candidates of one cluster (in redaction, of one text) with the chosen ones, pair by pair.
 
 Native: patterns give gaps and matches (split and regexp_extract_all), running sums of their lengths give positions, the
-trees are CASE expressions. Training data are counts of distinct feature vectors, at most ``vectors`` of the
-most frequent; only those reach the driver.
+trees are CASE expressions. Trees are fitted on counts of distinct feature vectors, at most ``vectors`` of the most
+frequent; thresholds are chosen from all candidates of the table, counted in Spark by hundredths of the score. Only
+these vectors and counts reach the driver.
 
 The patterns are written for a backtracking matcher: possessive loops run without recursion, and a match can begin only
 where a run of its first class begins or the last match ended, so that long runs cost linear time.
@@ -62,7 +63,7 @@ class Settings:
     depth: int = 3
     rate: float = 0.4
     precision: float = 0.98
-    #: The most distinct feature vectors that are learned from.
+    #: The most distinct feature vectors that trees are fitted on; thresholds see all.
     vectors: int = 20_000
 
 
@@ -258,13 +259,16 @@ def _found(i: int) -> Column:
 
 @dataclass
 class Model:
-    """For each kind the trees (nested (feature, limit, left, right) or a number), the start and the threshold."""
+    """For each kind the trees (nested (feature, limit, left, right) or a number), the start and the threshold, in
+    hundredths of a score."""
 
     trees: dict[str, list]
     start: dict[str, float]
     threshold: dict[str, float]
 
     def score(self, kind: str, found: Column) -> Column:
+        """The score in whole hundredths, rounded down."""
+
         def walk(t) -> Column:
             if isinstance(t, float):
                 return F.lit(t)
@@ -273,11 +277,11 @@ class Model:
         total = F.lit(self.start[kind])
         for t in self.trees[kind]:
             total = total + walk(t)
-        return total
+        return F.floor(total * 100)
 
     def adds(self, found: Column, kinds: tuple[str, ...]) -> Column:
         """The first of the kinds whose threshold the candidate reaches, as a place in KINDS (as), and its score; or nulls."""
-        out = F.lit(None).cast("struct<as: int, score: double>")
+        out = F.lit(None).cast("struct<as: int, score: bigint>")
         for kind in reversed(kinds):
             if self.threshold[kind] < float("inf"):
                 score = self.score(kind, found)
@@ -317,12 +321,12 @@ def _value(t, x: np.ndarray) -> np.ndarray:
     return np.where(low, _value(t[2], x), _value(t[3], x))
 
 
-def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, use: list[int], s: Settings) -> tuple[list, float, float]:
-    """Trees, start and calibrated threshold of weighted rows; y is 1, 0 or one of the two values of rows without a label."""
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, use: list[int], s: Settings) -> tuple[list, float]:
+    """Trees and start of weighted rows; y is 1, 0 or one of the two values of rows without a label."""
     known = y >= 0
     positive = float(weight[y == 1].sum())
     if not positive:
-        return [], 0.0, float("inf")
+        return [], 0.0
     fit, label, w = x[known], y[known], weight[known]
     start = float(np.log((positive + 0.5) / (w.sum() - positive + 0.5)))
     z, trees = np.full(len(fit), start), []
@@ -331,36 +335,53 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, use: list[int], s: S
         t = _grow(fit, w * (label - p), w * p * (1 - p), use, s.depth, s.rate)
         trees.append(t)
         z = z + _value(t, fit)
-    z = np.full(len(x), start)
-    for t in trees:
-        z = z + _value(t, x)
-    level, at = np.unique(-np.round(z, 9), return_inverse=True)  # equal scores stand or fall together
-    hits, seen, whole = (np.bincount(at, weight * m) for m in (y == 1, known, y >= OPEN))
+    return trees, start
+
+
+def choose(level: np.ndarray, hits: np.ndarray, seen: np.ndarray, whole: np.ndarray, s: Settings) -> float:
+    """The threshold of a kind from the counts of its levels: of base spans, of labelled and of whole candidates."""
+    down = np.argsort(-level)
+    level, hits, seen, whole = level[down], hits[down], seen[down], whole[down]
     good = np.cumsum(hits) >= s.precision * (np.cumsum(seen) + 1)
     # no level may hide behind better ones above it
     sound = np.cumsum(2 * hits < whole) == 0
     last = np.flatnonzero(good & sound)
-    return trees, start, float(-level[last[-1]]) - 1e-6 if len(last) else float("inf")
+    return float(level[last[-1]]) if len(last) else float("inf")
 
 
 def train(found: DataFrame, settings: Settings | None = None) -> Model:
     """Boost on the candidates of a table of candidates()."""
     s = settings or Settings()
-    single = found.where("kind between 4 and 5").select("features", "labels")
     # a run that is the whole of a number is there already
-    parts = found.where("kind = 6").select(F.explode("runs").alias("r")).where("not r.whole").select("r.features", "r.labels")
-    counts = single.unionByName(parts).groupBy("features", "labels").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "features", "labels").limit(s.vectors).toArrow()
+    parts = F.transform(F.filter("runs", lambda r: ~r["whole"]), lambda r: F.struct(r["features"].alias("features"), r["labels"].alias("labels")))
+    each = found.where("kind >= 4").select(F.explode(F.when(F.col("kind") == 6, parts).otherwise(F.array(F.struct("features", "labels")))).alias("c")).select("c.*")
+    counts = common.keep(each.groupBy("features", "labels").agg(F.count("*").alias("n")), "vectors")
+    most = counts.orderBy(F.col("n").desc(), "features", "labels").limit(s.vectors).toArrow()
     model = Model({}, {}, {})
-    x = np.array(counts["features"].to_pylist(), np.int64).reshape(-1, len(FEATURES))
-    y = np.array(counts["labels"].to_pylist(), np.float64).reshape(-1, len(KINDS))
-    w = np.array(counts["n"].to_pylist(), np.float64)
+    x = np.array(most["features"].to_pylist(), np.int64).reshape(-1, len(FEATURES))
+    y = np.array(most["labels"].to_pylist(), np.float64).reshape(-1, len(KINDS))
+    w = np.array(most["n"].to_pylist(), np.float64)
     for k, kind in enumerate(KINDS):
         fitting = (x[:, 0] == 1) == (kind == "email") if len(x) else np.zeros(0, bool)
         use = [i for i, f in enumerate(FEATURES) if f not in HIDDEN[kind]]
-        model.trees[kind], model.start[kind], model.threshold[kind] = boost(x[fitting], y[fitting, k], w[fitting], use, s)
+        model.trees[kind], model.start[kind] = boost(x[fitting], y[fitting, k], w[fitting], use, s)
+    levels = _levels(counts, model)
+    common.drop(counts)
+    for k, kind in enumerate(KINDS):
+        model.threshold[kind] = choose(*levels[levels[:, 0] == k].T[1:], s) if model.trees[kind] else float("inf")
     return model
 
 
+def _levels(counts: DataFrame, model: Model) -> np.ndarray:
+    """Rows of kind, level, hits, seen, whole: the sums over all vectors of a level of a kind's score."""
+    email = F.element_at("features", 1) == 1
+    of = [F.struct(F.lit(k).alias("k"), model.score(kind, F.col("features")).alias("level"), F.get("labels", F.lit(k)).alias("y")) for k, kind in enumerate(KINDS)]
+    each = counts.select("n", F.explode(F.when(email, F.array(of[0])).otherwise(F.array(*of[1:]))).alias("c")).select("n", "c.*")
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    sums = each.groupBy("k", "level").agg(total(F.col("y") == 1).alias("hits"), total(F.col("y") >= 0).alias("seen"), total(F.col("y") >= OPEN).alias("whole")).toArrow()
+    return np.array([sums[c].to_pylist() for c in ("k", "level", "hits", "seen", "whole")], np.float64).T.reshape(-1, 5)
+
+
 def _maybe(text: Column) -> Column:
     return F.coalesce(text.rlike("[0-9@]"), F.lit(False))
 

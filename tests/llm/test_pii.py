@@ -99,3 +99,10 @@ def test_a_third_without_the_demanded_trait(spark):
     assert [got[200 + k] for k in range(100)] == ["phone:10:26"] * 100
     assert [got[500 + k] for k in range(100)] == [f"email:8:{texts[500 + k].index(' now')}" for k in range(100)]
     assert {got[600 + k] for k in range(60)} == {""}
+
+
+def test_thresholds_see_vectors_that_trees_do_not(spark):
+    texts = [f"call +1 ({200 + k}) 555-{1000 + k} now" for k in range(300)] + [f"page {10 + k % 80} of 345" for k in range(200)]
+    rare = [f"{a}({b}) {c}{d}" for a in ("x ", "x-", "x") for b in ("12", "123", "1234") for c in ("45", "678", "9 10", "1-22") for d in (" y", "", "-", "z")]
+    found = pii.find(frame(spark, texts + rare), settings=pii.Settings(vectors=2))
+    assert {r.spans for r in found.where("doc_id >= 500").collect()} == {""}
