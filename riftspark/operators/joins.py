@@ -158,19 +158,25 @@ def boundaries(areas: DataFrame) -> DataFrame:
 
 def inside_areas(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
     """points (key columns, network, x, y) that lie in an area of their network, once each. A ray to the right counts
-    sides in the point's row of cells: sides are joined by that row, and the sums are formed by partial aggregation."""
-    sides = boundaries(areas).where("y0 <> y1").withColumn("row", F.explode(F.sequence(F.floor(F.least("y0", "y1") / cell), F.floor(F.greatest("y0", "y1") / cell))))
+    sides in the point's row of cells: sides are joined by that row, and the sums are formed by partial aggregation.
+    A point on a side of an area isn't inside that area."""
+    sides = boundaries(areas).withColumn("row", F.explode(F.sequence(F.floor(F.least("y0", "y1") / cell), F.floor(F.greatest("y0", "y1") / cell))))
     keys = points.columns
     at = points.withColumn("row", F.floor(F.col("y") / cell))
     s = sides.select(F.col("id").alias("__area"), F.col("network").alias("__network"), "row", *grid.SEGMENT)
     x = F.col("x0") + geom.ratio((F.col("y") - F.col("y0")) * (F.col("x1") - F.col("x0")), F.col("y1") - F.col("y0"))
-    hits = at.join(s, (at["row"] == s["row"]) & (at["network"] == s["__network"]) & ((F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y"))) & (F.col("x") < x))
-    return hits.groupBy(*keys, "__area").agg(F.count("*").alias("__n")).where("__n % 2 = 1").select(*keys).distinct()
+    px, py = F.col("x"), F.col("y")
+    ray = ((F.col("y0") > py) != (F.col("y1") > py)) & (px < x)
+    turn = (F.col("x1") - F.col("x0")) * (py - F.col("y0")) - (F.col("y1") - F.col("y0")) * (px - F.col("x0"))
+    on = (turn == 0) & px.between(F.least("x0", "x1"), F.greatest("x0", "x1")) & py.between(F.least("y0", "y1"), F.greatest("y0", "y1"))
+    hits = at.join(s, (at["row"] == s["row"]) & (at["network"] == s["__network"]) & (ray | on))
+    sums = hits.groupBy(*keys, "__area").agg(F.count(F.when(ray, 1)).alias("__n"), F.max(on).alias("__on"))
+    return sums.where("__n % 2 = 1 and not __on").select(*keys).distinct()
 
 
 def boundary_flags(lines: DataFrame, areas: DataFrame, cell: float, snap: float) -> DataFrame:
     """(trace_id, near, through): whether a line comes nearer than snap to a boundary, and whether it cuts through: all its
-    ends are near the boundary, or none lies inside an area while the line touches one."""
+    ends are near the boundary, or none lies inside an area while the line touches one. Ends on a side aren't inside."""
     sides = boundaries(areas)
     pairs = grid.box_pairs(grid.segments_of(lines), sides, cell, snap, ("network",))
     met = pairs.withColumn("d", geom.segment_distance("a_", "b_")).where(F.col("d") < snap)

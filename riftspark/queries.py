@@ -327,8 +327,7 @@ def clip_to_box(spark, sf_dir):
 @query(f"""WITH {ORDERS_SQL} SELECT id AS trace_id, {_IN('x0', 'y0')} AS start_in, {_IN('x1', 'y1')} AS end_in FROM l WHERE {_IN('x0', 'y0')} OR {_IN('x1', 'y1')}""")
 def ends_inside(spark, sf_dir):
     t = views.order_traces(spark, sf_dir)
-    ends = grid.ends_of(t).where(~F.col("x").isin(BOX[0], BOX[2]) & ~F.col("y").isin(BOX[1], BOX[3]))
-    inside = joins.inside_areas(ends, _box(spark, t), CELL)
+    inside = joins.inside_areas(grid.ends_of(t), _box(spark, t), CELL)
     return inside.groupBy(F.col("id").alias("trace_id")).agg(F.max(F.col("end") == 0).alias("start_in"), F.max(F.col("end") == 1).alias("end_in"))
 
 

@@ -171,3 +171,13 @@ def test_circular_mean_and_heat_map(spark):
     assert sum(r.n for r in heat) == 2 and sum(r.smooth for r in heat) == pytest.approx(2.0, abs=1e-3)
     assert params.random_branch_curve()[5] == (0.25, 0.5, 0.25)
     assert params.connections_line(1.5)[0][0] == 0.0
+
+
+def test_points_on_a_side_are_not_inside(spark):
+    areas = areas_from(spark, [(1, "n", [BOX])])
+    at = [(-5, 0), (5, 0), (0, -5), (0, 5), (-5, -5), (5, 5), (0, 0), (4.75, -4.75), (6, 0), (-6, 5)]
+    df = spark.createDataFrame([(k, "n", float(x), float(y)) for k, (x, y) in enumerate(at)], "id int, network string, x double, y double")
+    assert sorted(r.id for r in joins.inside_areas(df, areas, 2.0).collect()) == [6, 7]
+    lines = lines_from(spark, [(1, "n", [(-5, 0), (0, 0)]), (2, "n", [(-5, 0), (-9, 0)]), (3, "n", [(5, 0), (0, 0)]), (4, "n", [(5, 0), (9, 0)])])
+    got = {r.trace_id: (r.near, r.through) for r in joins.boundary_flags(lines, areas, 2.0, 0.01).collect()}
+    assert got == {1: (True, False), 2: (True, True), 3: (True, False), 4: (True, True)}
