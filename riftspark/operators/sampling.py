@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riftspark.functions import geom
+from riftspark.functions.lineage import cut
 from riftspark.operators import grid, params
 
 
@@ -110,14 +111,30 @@ def random_circles(areas: DataFrame, samples: int, least_radius: float, by_area:
     return out.select("network", "id", (F.col("x") + away * F.cos(turn)).alias("x"), (F.col("y") + away * F.sin(turn)).alias("y"), F.col("__r").alias("r"))
 
 
-def random_points(boxes: DataFrame, n: int, seed: int = 0, tries: int = 64) -> DataFrame:
-    """(network, id, x, y): n points in polygons (network, rings), the first of ``tries`` draws in the box that lies inside."""
+def random_points(boxes: DataFrame, n: int, seed: int = 0, tries: int = 64, rounds: int = 12) -> DataFrame:
+    """(network, id, x, y): n points in polygons (network, rings), each the first of its draws in the box that lies inside.
+
+    Points that have none after ``tries`` draws get four times as many in the next round. A polygon without area is an
+    error, and so is one that fills so little of its box that some point is missing after the last round.
+    """
+    none = boxes.where(geom.polygon_area("rings") <= 0).select("network").limit(1).collect()
+    if none:
+        raise ValueError(f"the polygon of network {none[0][0]!r} has no area")
     b = geom.bounds(F.flatten("rings"))
-    rows = boxes.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("__b", b).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    x = F.col("__b.min_x") + uniform(seed, "network", "id", "k") * (F.col("__b.max_x") - F.col("__b.min_x"))
-    y = F.col("__b.min_y") + uniform(seed + 1, "network", "id", "k") * (F.col("__b.max_y") - F.col("__b.min_y"))
-    inside = rows.withColumns({"x": x, "y": y}).where(geom.point_in_rings(F.col("x"), F.col("y"), "rings"))
-    return inside.groupBy("network", "id").agg(F.min_by(F.struct("x", "y"), "k").alias("p")).select("network", "id", "p.x", "p.y")
+    left = boxes.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("__b", b)
+    found, first = None, 0
+    for _ in range(rounds):
+        rows = left.withColumn("k", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))))
+        x = F.col("__b.min_x") + uniform(seed, "network", "id", "k") * (F.col("__b.max_x") - F.col("__b.min_x"))
+        y = F.col("__b.min_y") + uniform(seed + 1, "network", "id", "k") * (F.col("__b.max_y") - F.col("__b.min_y"))
+        inside = rows.withColumns({"x": x, "y": y}).where(geom.point_in_rings(F.col("x"), F.col("y"), "rings"))
+        got = cut(inside.groupBy("network", "id").agg(F.min_by(F.struct("x", "y"), "k").alias("p")).select("network", "id", "p.x", "p.y"))
+        found = got if found is None else found.unionByName(got)
+        left = cut(left.join(got, ["network", "id"], "left_anti"))
+        if left.isEmpty():
+            return found
+        first, tries = first + tries, 4 * tries
+    raise ValueError(f"a polygon fills too little of its box: points are missing after {first} draws each")
 
 
 def subsample(traces: DataFrame, areas: DataFrame, samples: int, least_radius: float, nodes: DataFrame | None = None, branches: DataFrame | None = None, by_area: bool = False, seed: int = 0) -> DataFrame:

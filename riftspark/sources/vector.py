@@ -17,6 +17,10 @@ from riftspark.functions import geom
 _COORDINATES = {"LineString": "array<array<double>>", "MultiLineString": "array<array<array<double>>>", "Polygon": "array<array<array<double>>>", "MultiPolygon": "array<array<array<array<double>>>>", "Point": "array<double>"}
 
 
+#: Columns that a table of features may have; the names of all properties reach the driver.
+MOST_PROPERTIES = 10_000
+
+
 class WrongGeometry(TypeError):
     """A table has no geometry, or one of a type that the caller can't use."""
 
@@ -42,11 +46,14 @@ def features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
 
 def _properties_schema(sample: DataFrame) -> T.StructType | None:
-    """The schema of all properties, from every row; null where there is none."""
+    """The schema of all properties, from every row; null where there is none. More than MOST_PROPERTIES names are an error."""
     keys = sample.select(F.explode(F.json_object_keys("properties")).alias("k")).distinct()
-    names = [r[0] for r in keys.orderBy("k").limit(10_000).collect()]
+    names = [r[0] for r in keys.limit(MOST_PROPERTIES + 1).collect()]
+    if len(names) > MOST_PROPERTIES:
+        raise ValueError(f"more than {MOST_PROPERTIES} different properties; a table can't have a column for each")
     if not names:
         return None
+    names.sort()
     kinds = sample.agg(*[_kind_of(n).alias(f"k{i}") for i, n in enumerate(names)]).first()
     types = {0: T.StringType(), 1: T.BooleanType(), 2: T.LongType(), 3: T.DoubleType(), 4: T.StringType()}
     return T.StructType([T.StructField(n, types[k or 0]) for n, k in zip(names, kinds, strict=True)])

@@ -150,3 +150,20 @@ def test_command_line_network_and_validation(spark, tmp_path):
     assert cli.main(["validate", t, a, "--output", str(tmp_path / "v.geojson")]) == 0
     assert vector.read_traces(spark, str(tmp_path / "v.geojson")).count() == 2
     assert cli.main(["snap", t, "--output", str(tmp_path / "s.geojson")]) == 0
+
+
+def test_thin_polygons_get_all_their_points(spark):
+    thin = [(0.0, 0.0), (100.0, 100.0), (100.0, 100.2), (0.0, 0.0)]
+    areas = vector.areas_from(spark, [(1, "n", [thin])])
+    got = sampling.random_points(areas, 30).collect()
+    assert len({r.id for r in got}) == len(got) == 30
+    assert all(r.x - 1e-9 <= r.y <= r.x * 1.002 + 1e-9 for r in got)
+    with pytest.raises(ValueError, match="no area"):
+        sampling.random_points(vector.areas_from(spark, [(1, "n", [[(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)]])]), 3)
+
+
+def test_too_many_properties_are_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector, "MOST_PROPERTIES", 2)
+    (tmp_path / "f.geojson").write_text('{"features": [{"geometry": null, "properties": {"a": 1, "b": 2, "c": 3}}]}')
+    with pytest.raises(ValueError, match="properties"):
+        vector.features(spark, str(tmp_path / "f.geojson"))
