@@ -91,7 +91,8 @@ BATCH_ROWS = 2000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Have Spark send texts to Python in small batches, unless the session has its own number of rows for that."""
+    """Have Spark send texts to Python in small batches, unless the session has its own number of rows for that. Their bytes are bounded
+    by spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by default. The setting is read when a plan runs, so it stays set."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, str(BATCH_ROWS))

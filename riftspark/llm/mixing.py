@@ -10,7 +10,8 @@ rest. Rows are never sorted, and each step shuffles at most 4096 sums a source a
 Native: DataFrame functions only.
 
 Edge cases: a null source is a source, the last; a null text has size 0; a null key hashes as an empty text; rows of
-one key share a hash and so a decision; sources without words take nothing; an empty table gives an empty one.
+one key share a hash and so a decision, also those of a null key, so that a source whose rows have one key or none is
+taken whole or not at all in a pass; sources without words take nothing; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,22 +35,48 @@ def key_hash(key: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+def ranked(sources: DataFrame) -> DataFrame:
+    """Sources (a row each, column source) with their rank from 0 in the order of code points, null last. The sort is dealt out by
+    ranges; only the number of rows of each part is summed in one place."""
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sorted_ = common.keep(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("__id", F.monotonically_increasing_id()), "sorted")
+    parts = sorted_.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    first = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("__part", first.alias("__first"))
+    out = sorted_.withColumn("__part", part).join(F.broadcast(parts), "__part").withColumn("rank", F.col("__first") + place)
+    return out.drop("__part", "__first", "__id")
+
+
+def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, few: int = BROADCAST_SOURCES) -> DataFrame:
     """(source, source_size, target) from (source, size): shares by the weights, at most cap times the size.
 
-    Capped sources are a prefix of the order of cap x size / weight. The level that the others share is the greatest of
-    the levels after each prefix. The windows hold one row for each source.
+    What sources above their cap leave is shared by the others, round by round, until none is above. The level of a round never
+    falls, so that a source once above stays above: the sources above at the end are a prefix of the order of cap x size /
+    weight, and their level is the greatest of the levels after each prefix. Up to ``few`` sources, windows over their rows find
+    it in one job; more are ranked by a sort dealt out by ranges, and each round is one sum over them. Both give the same.
     """
-    total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("long")
-    weighed = total.withColumn("weight", weight)
-    before = Window.orderBy(F.col("source_size") * cap / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum(F.col("source_size") * cap).over(before), F.lit(0))
-    level = weighed.withColumn("level", left / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
-    share = F.max("level").over(every) * F.col("weight")
-    return level.select("source", "source_size", F.least((F.col("source_size") * cap).cast("double"), share).alias("target"))
+    total = common.keep(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    small = common.small_enough(total, few)
+    rank = total.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) if small else ranked(total)
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.pmod("rank", F.lit(len(weights))).cast("int") + 1).cast("long")
+    weighed = rank.select("source", "source_size", weight.alias("weight"))
+    limit = F.col("source_size") * cap
+    if small:
+        before = Window.orderBy(limit / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+        every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        left = F.sum("source_size").over(every) - F.coalesce(F.sum(limit).over(before), F.lit(0))
+        levels = weighed.withColumn("level", left / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
+        return levels.select("source", "source_size", F.least(limit.cast("double"), F.max("level").over(every) * F.col("weight")).alias("target"))
+    weighed = common.keep(weighed, "weighed")
+    words = weighed.agg(F.sum("source_size")).first()[0]
+    level, above = 0.0, -1
+    while True:
+        held = (limit.cast("double") <= F.lit(level) * F.col("weight")) if above >= 0 else F.lit(False)
+        n, full, free = weighed.agg(F.count(F.when(held, 1)), F.coalesce(F.sum(F.when(held, limit)), F.lit(0)), F.coalesce(F.sum(F.when(~held, F.col("weight"))), F.lit(0))).first()
+        if n == above or not free:
+            break
+        level, above = float(words - full) / float(free), n
+    return weighed.select("source", "source_size", F.least(limit.cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def with_source(rows: DataFrame, state: DataFrame) -> DataFrame:

@@ -69,3 +69,20 @@ def test_bloom_filter_loses_nothing_and_passes_little(spark):
     probed = url_filter.possible(urls, blocks, n)
     assert probed.where("canonical like '%7' and not possible").count() == 0
     assert probed.where("canonical not like '%7' and possible").count() < 72
+
+
+def test_many_sources_have_the_targets_of_few(spark):
+    sizes = spark.createDataFrame([(f"s{k % 97}", (k * k) % 50 if k % 97 else 900) for k in range(400)] + [(None, 3), ("é", 0), ("Z", 7)], "source string, size long").repartition(5)
+    few, many = (sorted(((r.source or "~", r.source_size, r.target) for r in mixing.targets(sizes, few=n).collect())) for n in (1000, 3))
+    assert few == many and len(few) == 100
+    assert mixing.targets(sizes.limit(0), few=-1).count() == 0
+
+
+def test_clashing_columns_and_long_texts(spark):
+    df = documents(spark, [(1, "w " * 400_000, "a"), (2, "w", "a"), (3, None, "b")])
+    df = df.withColumns({"hash": F.lit(1), "size": F.lit("x"), "rest": F.lit(2), "target": F.lit(0), "passes": F.lit(9), "bucket": F.lit(4)})
+    got = mixing.mix(df)
+    assert got.columns == df.columns and {r.size for r in got.collect()} <= {"x"}
+    pages = spark.createDataFrame([(1, "http://a.org/" + "x" * 300_000, 5, "keep"), (2, "http://b.org/?utm_a=1", 6, None), (3, "http://b.org", 7, "r")], "page_id long, url string, block int, rule string")
+    judged = url_filter.judge(pages, spark.createDataFrame([("b.org",)], "canonical string")).withColumnRenamed("block", "kept")
+    assert sorted((r.page_id, r.kept, r.rule, r.verdict) for r in judged.collect()) == [(1, 5, None, "allow"), (2, 6, None, "block"), (3, 7, None, "block")]
