@@ -4,7 +4,7 @@ Rules by host and path come first; the longest that fits decides. Other URLs are
 a blocked Bloom filter of the list passes possible hits, and an exact hash join of those with the list removes the
 false positives. The filter has blocks of 256 bits, eight words of 32; a key sets a bit in each word of one block.
 It is a table of blocks, built by bit_or and probed by a join on the block's number: broadcast if it is small enough,
-by shuffle otherwise. Sixteen bits a key pass about one in a thousand URLs that aren't listed.
+by shuffle otherwise. All rows are probed in one pass whose result is kept; only possible hits are joined with the list. Sixteen bits a key pass about one in a thousand URLs that aren't listed.
 
 Native: DataFrame functions only.
 
@@ -90,13 +90,18 @@ def bloom(listed: DataFrame, bits_per_key: int = 16) -> tuple[DataFrame, int]:
     return common.keep(keyed.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)]), "bloom"), blocks
 
 
-def possible(df: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
-    """Add the column possible: false for no URL of the list."""
-    probed = df.withColumn("block", _block(F.col("canonical"), blocks)).join(common.maybe_broadcast(table, BROADCAST_BLOCKS), "block", "left")
-    hit = F.col("canonical").isNotNull()
-    for i, m in enumerate(_masks(F.col("canonical"))):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(m) == m)
-    return probed.withColumn("possible", F.coalesce(hit, F.lit(False))).drop("block", *[f"w{i}" for i in range(8)])
+def possible(df: DataFrame, table: DataFrame, blocks: int, key: str = "canonical", name: str = "possible") -> DataFrame:
+    """Add the column of that name: false for no URL of the list, and for null keys."""
+    # null keys are dealt out by the whole row where the filter is too large to be broadcast
+    spread = -1 - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 20))
+    at = F.when(F.col(key).isNotNull(), _block(F.col(key), blocks)).otherwise(spread)
+    bits = common.maybe_broadcast(table, BROADCAST_BLOCKS)
+    bits = bits.select(*[F.col(c).alias(f"__{c}") for c in bits.columns])
+    probed = df.withColumn("__block", at).join(bits, "__block", "left")
+    hit = F.col(key).isNotNull()
+    for i, m in enumerate(_masks(F.col(key))):
+        hit = hit & (F.col(f"__w{i}").bitwiseAND(m) == m)
+    return probed.withColumn(name, F.coalesce(hit, F.lit(False))).drop("__block", *[f"__w{i}" for i in range(8)])
 
 
 def judge(df: DataFrame, listed: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -107,12 +112,13 @@ def judge(df: DataFrame, listed: DataFrame, url: str = "url", rules: tuple[Rule,
     own = [c for c in df.columns if c.lower() not in ("host", "path", "canonical", "rule", "verdict")]
     rows = parts(df.select(*[F.col(f"`{c}`") for c in own]), url).withColumn("rule", name).withColumn("verdict", verdict)
     columns = [*own, "host", "path", "canonical", "rule"]
-    ruled = rows.where("verdict is not null").select(*columns, "verdict")
-    probed = possible(rows.where("verdict is null").drop("verdict"), table, blocks)
-    checked = probed.where("possible").join(urls.withColumn("__listed", F.lit(True)), "canonical", "left")
+    # URLs with a rule have no key, and so no block and no possible hit
+    probed = possible(rows.withColumn("__key", F.when(F.col("verdict").isNull(), F.col("canonical"))), table, blocks, "__key", "__possible")
+    probed = common.keep(probed.select(*columns, "verdict", "__possible"), "probed")
+    checked = probed.where("__possible").join(urls.withColumn("__listed", F.lit(True)), "canonical", "left")
     checked = checked.select(*columns, F.when(F.col("__listed"), "block").otherwise("allow").alias("verdict"))
-    others = probed.where("not possible").select(*columns, F.lit("allow").alias("verdict"))
-    return ruled.unionByName(checked).unionByName(others)
+    others = probed.where("not __possible").select(*columns, F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    return checked.unionByName(others)
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
