@@ -86,3 +86,24 @@ def test_damage_is_noticed():
     assert warc.parse(raw)[1:] == (3, b"abc")
     with pytest.raises(ValueError):
         warc.parse(raw[:-5])
+
+
+def test_vectors_that_lean_together_are_pruned(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 1, (24, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    rows = [(int(k), [float(np.float32(c)) for c in centres[k % 24] + rng.normal(0, 0.03, 16)]) for k in range(6000)]
+    df = vectors(spark, rows).repartition(3).where(topk_search.usable("embedding")).select("vec_id", topk_search.quantised("embedding").alias("vector"), F.lit(1).alias("block"), F.lit("x").alias("score"))
+    out = topk_search.search(topk_search.index(df), df.where("vec_id % 50 = 0"))
+    scored, every = out.visited
+    assert 0 < scored < 0.25 * every
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()) == brute(rows, every=50)
+
+
+def test_long_records_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ", 2000)
+    rows = [(k, f"http://{k}", chr(97 + k) * (50 if k % 3 else 40_000)) for k in range(12)] + [(20, "http://20", "a" * 40_000)]
+    df = pages(spark, rows).withColumns({"digest": F.lit(0), "payload": F.lit("x"), "file": F.lit("y"), "offset": F.lit(-1)})
+    index = warc.write(warc.plan(df))
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(index, index.archives).collect()}
+    assert got == {k: (len(h), "response", None) for k, _, h in rows[:-1]} | {20: (40_000, "revisit", 0)}
