@@ -38,6 +38,8 @@ DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 1 << 30
 #: Reads closer than GAP are one, up to READ bytes (a longer record is read whole).
 GAP, READ = 64 << 10, 8 << 20
+#: Tasks that read; at 100 TB, each has 1 GB of archives, read in parts of READ bytes.
+MOST_TASKS = 100_000
 #: Digests with copies up to which they are broadcast, at about 100 bytes each.
 BROADCAST_DIGESTS = 300_000
 
@@ -141,10 +143,13 @@ def write(planned: DataFrame, folder: str | None = None, file_bytes: int = FILE_
 def read(wanted: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """The records of the wanted rows (file, offset, length) of an index, read by coalesced sorted ranges.
 
-    Rows go to tasks by file and a stretch of READ bytes, so that one large file is read by many tasks.
+    Rows go to tasks by file and a stretch of READ bytes, so that one large file is read by many tasks. The number of tasks
+    follows from the bytes to read, not from the size of the index's rows.
     """
     stretch = F.floor(F.col("offset") / READ)
-    rows = wanted.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    total = wanted.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(wanted.sparkSession.sparkContext.defaultParallelism, -(-2 * total // READ))
+    rows = wanted.select("file", "offset", "length").repartition(min(tasks, MOST_TASKS), "file", stretch).sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payloads else "")
 
     def records(stream, reads: list[tuple[int, int]]) -> Iterator[tuple]:
