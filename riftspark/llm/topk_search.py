@@ -83,13 +83,23 @@ def _fitting(x: np.ndarray, width: int) -> np.ndarray:
     return x if x.shape[1] == width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
+def _chained(p: np.ndarray) -> np.ndarray:
+    """Pivots in an order in which each is followed by the nearest of those left, so that neighbours share blocks."""
+    left, out = list(range(len(p))), []
+    while left:
+        with np.errstate(over="ignore", invalid="ignore"):
+            gap = ((p[left] - p[out[-1]]) ** 2).sum(axis=1) if out else np.zeros(len(left))
+        out.append(left.pop(int(gap.argmin())))
+    return p[out]
+
+
 def ordered(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, vector, pivot) of rows, dealt out and sorted by the nearest pivot and a hash of the key, so that a pivot of many
     rows is dealt to several tasks."""
     mixed = F.xxhash64(key, vector)
     pivots = df.where(F.col(key).isNotNull()).select(vector, mixed.alias("h")).orderBy("h", vector).limit(PIVOTS).select(vector).toArrow()
     column = pivots[vector].combine_chunks() if pivots.num_rows else pa.array([], pa.list_(pa.float64()))
-    p = _matrix(column)
+    p = _chained(_matrix(column))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
