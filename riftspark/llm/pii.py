@@ -1,16 +1,22 @@
 r"""Operator 10: personal data by candidate gradient boosting.
 
-Base spans come from four patterns with their checks. Broader generators then propose candidates (anything with an @ in its
-middle, any run of digit groups), which overlap base spans and each other. Where base spans are cut off, each run of
-neighbouring digit groups with at most 19 digits that could be of some kind by its digits is a candidate, too. A candidate has small integers as
-features: its format (digits, groups, separators, checksum) and its context (characters around it, a telling word before it).
-Boosted regression trees, one set for each kind, learn from the candidates of the whole table which of them hold a
-checked base span; a trait that the base pattern demands by itself (the plus of a phone number, ASCII letters in an
-address) is no feature of that kind, so that candidates without it but with all else alike score high. Candidates that hold no
-base span of a kind, but whose digits or domain are valid for it, have no label: they may be what the base misses. The
-threshold of a kind is the lowest score from which on at least ``precision`` of the labelled candidates hold a base span, and
-of each single score at least half of all whole candidates, so that those without a label are never the most of it; a kind without such a score adds nothing. Candidates that reach it and touch no base span are added; of those
-that overlap, addresses come first, then runs of groups, then undivided numbers, each by kind, score, size and place. That
+Base spans come from four patterns with their checks. Broader generators then propose candidates, which overlap base spans and
+each other: anything with an @ in its middle, addresses that spell out "(at)", any run of digit groups, runs of the
+characters that keys are made of (a fifth kind, secret, which has no base). Where base spans are cut off, each run of
+neighbouring digit groups with at most 19 digits that could be of some kind by its digits is a candidate, too. A candidate has
+small integers as features: its format (digits, groups, separators, checksum, shares of classes) and its context (characters
+around it, a telling word before it).
+
+Boosted regression trees, one set for each kind, learn from the candidates of the whole table. Their labels come from checks
+that they don't see: of the four kinds, that a candidate holds a checked base span, while the trait that the base pattern
+demands by itself (the plus of a phone number, ASCII letters in an address) is no feature, so that candidates without it but
+with all else alike score high; of secrets, a name like "token =" before them or a published prefix, while only form and
+quotes are features. Candidates of which neither is known (digits or domain are valid, but no base span is held; letters
+and digits are mixed, but no name tells) have no label: they may be what is sought. The threshold of a kind is the lowest
+score from which on the lower end of the confidence interval (80 %) of the labelled candidates' precision is at least
+``precision``, and of each single score at least half of all whole candidates are positive, so that those without a label are
+never the most of it; a kind without such a score adds nothing. Candidates that reach it and touch no base span are added; of those
+that overlap, addresses and secrets come first, then runs of groups, then undivided numbers, each by kind, score, size and place. That
 compares the passing candidates of one cluster (in redaction, of one text) with the chosen ones, pair by pair.
 
 Native: patterns give gaps and matches (split and regexp_extract_all), running sums of their lengths give positions, the
@@ -21,7 +27,7 @@ these vectors and counts reach the driver.
 The patterns are written for a backtracking matcher: possessive loops run without recursion, and a match can begin only
 where a run of its first class begins or the last match ended, so that long runs cost linear time.
 
-Edge cases: a null text counts as empty; texts without digit and @ have no span; positions count code points; repeated
+Edge cases: a null text counts as empty; texts without digit, @ and (at) have no span; positions count code points; repeated
 rows and ids are judged each; an empty table, or one without any base span, adds nothing.
 """
 
@@ -35,8 +41,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KINDS = ("email", "ip", "card", "phone")
-NUMBERS = KINDS[1:]
+BASE = ("email", "ip", "card", "phone")
+#: Kinds that spans may have; secrets (keys, tokens, passwords) have no base pattern.
+KINDS = (*BASE, "secret")
+NUMBERS = BASE[1:]
 
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -47,14 +55,22 @@ PATTERNS = {
 #: Candidates: something on both sides of an @, and digit groups with up to two separators between them.
 ADDRESS = r"(?:(?<![^\x20\x09-\x0D@,;:<>()\[\]\x22])|\G)[^\x20\x09-\x0D@,;:<>()\[\]\x22]++@[^\x20\x09-\x0D@,;:<>()\[\]\x22]++"
 NUMBER = r"[+(]?[0-9](?:[\x20().:/-]{0,2}+[0-9])++"
+#: Addresses that are spelled out, and what stands there for @ and the full stop.
+SPELLED_AT, SPELLED_DOT = (rf"\x20?[\[({{]\x20?(?i:{w})\x20?[\])}}]\x20?" for w in ("at", "dot"))
+SPELLED = rf"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++{SPELLED_AT}[A-Za-z0-9-]++(?:(?:{SPELLED_DOT}|\.)[A-Za-z0-9-]++)++"
+#: Runs of characters that keys are made of.
+TOKEN = r"(?:(?<![A-Za-z0-9_+/-])|\G)[A-Za-z0-9_+/-]{10,}+={0,2}+"
 #: A digit group with what may open a number before it, and what may stand between two groups of a run.
 GROUP = r"[+(]?[0-9]++"
 BETWEEN = r"^[\x20().:/-]{0,2}$"
 RUN_DIGITS = 19
 _MASK = "\ufffc"
-_NAME = r"\[(?:EMAIL|IP|CARD|PHONE)\]"
+_NAME = r"\[(?:EMAIL|IP|CARD|PHONE|SECRET)\]"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _TELLING = {1: "tel|phone|fon|fax|call|mobil|llam", 2: "card|visa|carte|tarjeta|karte|iban", 3: r"\bip|host|addr|server", 4: "mail|contact|kontakt|correo"}
+#: What tells a secret without a look at its form: a name and an assignment before it, or a published prefix. Never a feature.
+_NAMED_SECRET = r"(?:key|token|secret|passw(?:or)?d|passphrase|pwd|auth|bearer|credential)[a-z0-9_-]{0,12}[\x22']?\s{0,2}[:=]\s{0,2}[\x22']?$"
+_PREFIXED_SECRET = r"^(?:AKIA[A-Z0-9]{16}$|ASIA[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{20}|sk-[A-Za-z0-9]{16}|sk_live_|xox[abprs]-|AIza[A-Za-z0-9_-]{30}|eyJ[A-Za-z0-9_-]{16})"
 
 
 @dataclass(frozen=True)
@@ -62,7 +78,9 @@ class Settings:
     rounds: int = 12
     depth: int = 3
     rate: float = 0.4
-    precision: float = 0.98
+    #: What the lower end of the confidence interval of a score's precision must reach, and that interval's z (80 %, one-sided).
+    precision: float = 0.9
+    z: float = 0.84
     #: The most distinct feature vectors that trees are fitted on; thresholds see all.
     vectors: int = 20_000
 
@@ -101,9 +119,15 @@ def _split(text: Column, pattern: str) -> tuple[Column, Column]:
 
 FEATURES = (
     "address", "digits", "groups", "last", "before_last", "dot", "dash", "space", "paren", "slash", "plus", "luhn", "octets", "before", "after", "telling", "tld", "dots", "odd",
+    "length", "upper", "lower", "numerals", "turns", "marks", "hex", "quoted", "assigned",
 )
 #: What a kind's model must not see: the trait that its base pattern demands.
-HIDDEN = {"email": {"odd"}, "ip": set(), "card": set(), "phone": {"plus", "digits"}}
+HIDDEN = {"email": {"odd"}, "ip": set(), "card": set(), "phone": {"plus", "digits"}, "secret": {"telling", "luhn", "octets"}}
+#: The feature "address" of what the generators propose: 0 numbers, 1 addresses, 2 tokens.
+KIND_OF = {4: 1, 5: 0, 6: 0, 7: 1, 8: 2}
+GENERATORS = {4: ADDRESS, 5: NUMBER, 7: SPELLED, 8: TOKEN}
+#: The kinds that a candidate of each sort can be.
+KINDS_OF = {0: NUMBERS, 1: ("email",), 2: ("secret",)}
 
 
 def _side(c: Column) -> Column:
@@ -111,8 +135,16 @@ def _side(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"^[\x20\x09-\x0D]"), 1).when(c.rlike(r"^\p{L}"), 2).when(c.rlike("^[0-9]"), 3).otherwise(4)
 
 
-def features(match: Column, gap: Column, after: Column, address: bool) -> Column:
-    """The features of a candidate as an array of small integers; gap and after are the texts around it."""
+def plain_address(match: Column) -> Column:
+    """An address with @ and full stops where it spells them out."""
+    return F.regexp_replace(F.regexp_replace(match, SPELLED_AT, "@"), SPELLED_DOT, ".")
+
+
+def features(match: Column, gap: Column, after: Column, sort: int) -> Column:
+    """The features of a candidate as an array of small integers; gap and after are the texts around it; sort: see KIND_OF."""
+    address, token = sort == 1, sort == 2
+    of = lambda pattern: F.length(F.regexp_replace(match, pattern, ""))
+    eighths = lambda pattern: F.ceil(8 * of(pattern) / F.length(match)).cast("int") if token else F.lit(0)
     number = digits(match)
     n = F.length(number)
     runs = F.filter(F.split(match, "[^0-9]+"), lambda x: x != "")
@@ -125,14 +157,18 @@ def features(match: Column, gap: Column, after: Column, address: bool) -> Column
     length_at = lambda k: F.least(F.coalesce(F.length(F.try_element_at(runs, F.lit(k))), F.lit(0)), F.lit(7))
     domain = F.substring_index(match, "@", -1)
     values = {
-        "address": F.lit(int(address)), "digits": F.least(n, F.lit(20)), "groups": F.least(F.size(runs), F.lit(6)), "last": length_at(-1), "before_last": length_at(-2),
+        "address": F.lit(sort), "digits": F.least(n, F.lit(20)), "groups": F.least(F.size(runs), F.lit(6)), "last": length_at(-1), "before_last": length_at(-2),
         "dot": has("."), "dash": has("-"), "space": has(" "), "paren": has("("), "slash": F.greatest(has("/"), has(":")), "plus": F.startswith(match, F.lit("+")).cast("int"),
-        "luhn": F.when(n.between(14, 19), luhn(number).cast("int")).otherwise(0) if not address else F.lit(0),
-        "octets": match.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$").cast("int") if not address else F.lit(0),
+        "luhn": F.when(n.between(14, 19), luhn(number).cast("int")).otherwise(0) if sort == 0 else F.lit(0),
+        "octets": match.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$").cast("int") if sort == 0 else F.lit(0),
         "before": _side(F.right(gap, F.lit(1))), "after": _side(F.left(after, F.lit(1))), "telling": telling,
         "tld": F.least(F.length(F.substring_index(domain, ".", -1)), F.lit(8)) if address else F.lit(0),
         "dots": F.least(F.size(F.split(domain, r"\.")) - 1, F.lit(4)) if address else F.lit(0),
         "odd": match.rlike(r"[^A-Za-z0-9._%+@-]").cast("int") if address else F.lit(0),
+        "length": F.least(F.length(match) / 4, F.lit(16)) if token else F.lit(0), "upper": eighths("[^A-Z]"), "lower": eighths("[^a-z]"), "numerals": eighths("[^0-9]"),
+        "turns": F.least(F.size(F.split(match, "[0-9]+")), F.lit(9)) if token else F.lit(0), "marks": F.least(of("[A-Za-z0-9]"), F.lit(4)) if token else F.lit(0),
+        "hex": match.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("int") if token else F.lit(0), "quoted": gap.rlike(r"[\x22'\x60]$").cast("int") if token else F.lit(0),
+        "assigned": gap.rlike(r"[:=]\s?[\x22'\x60]?$").cast("int") if token else F.lit(0),
     }
     return F.array(*[F.coalesce(values[k].cast("int"), F.lit(0)) for k in FEATURES])
 
@@ -146,10 +182,15 @@ def _holds(kind: str, match: Column) -> Column:
 OPEN, OPEN_PART = -1, -2
 
 
-def _labels(match: Column, address: bool, part: bool = False) -> Column:
-    """1 for candidates that hold a checked base match of a kind, 0 for those that can't be of it, else OPEN."""
-    valid = {"email": valid_domain(match)} if address else {k: could_be(k, match) for k in NUMBERS}
-    if not address:
+def _labels(match: Column, gap: Column | None, sort: int, part: bool = False) -> Column:
+    """1 for candidates that hold a checked base match of a kind, 0 for those that can't be of it, else OPEN. Of secrets, which
+    have no base: 1 for those with a telling name or prefix, 0 for those without digits or without letters."""
+    if sort == 2:
+        told = F.lower(F.right(gap, F.lit(40))).rlike(_NAMED_SECRET) | match.rlike(_PREFIXED_SECRET)
+        mixed = match.rlike("[0-9]") & match.rlike("[A-Za-z]")
+        return F.array(*[F.lit(0)] * len(BASE), F.when(~mixed, 0).when(told, 1).otherwise(OPEN))
+    valid = {"email": valid_domain(match)} if sort == 1 else {k: could_be(k, match) for k in NUMBERS}
+    if sort == 0:
         # what holds a base match of another kind is none
         valid["phone"] = valid["phone"] & ~_holds("card", match) & ~_holds("ip", match)
     open_ = OPEN_PART if part else OPEN
@@ -204,7 +245,7 @@ def runs(i: Column) -> Column:
         gap = F.array_join(F.transform(F.slice("__p", first, 2 * i + 2 - first), lambda x: F.right(x, F.lit(64))), "")
         after = F.concat(*[F.coalesce(F.get("__p", 2 * (i + c["e"]) + k), F.lit("")) for k in (2, 3)])
         around = F.array(F.struct(c["text"].alias("text"), gap.alias("gap"), after.alias("after")))
-        found = F.transform(around, lambda a: F.struct((c["e"] + 1).alias("groups"), F.char_length(a["text"]).cast("long").alias("size"), whole(c["e"]).alias("whole"), features(a["text"], a["gap"], a["after"], False).alias("features"), _labels(a["text"], False, part=True).alias("labels")))
+        found = F.transform(around, lambda a: F.struct((c["e"] + 1).alias("groups"), F.char_length(a["text"]).cast("long").alias("size"), whole(c["e"]).alias("whole"), features(a["text"], a["gap"], a["after"], 0).alias("features"), _labels(a["text"], None, 0, part=True).alias("labels")))
         return found[0]
 
     some = F.filter(F.transform(F.sequence(F.lit(0), more), seen), lambda c: c["text"].isNotNull() & (could_be("ip", c["text"]) | could_be("card", c["text"]) | could_be("phone", c["text"])))
@@ -214,9 +255,9 @@ def runs(i: Column) -> Column:
 
 def candidates(rows: DataFrame) -> DataFrame:
     """(row, kind, pos, skip, size, ok, features, labels, runs) of all base matches and candidates of (row, text). kind is the
-    place in KINDS, 4 and 5 are the generators, 6 has the digit groups left between base spans with the runs that begin there."""
+    place in BASE, 4, 5, 7 and 8 are the generators, 6 has the digit groups left between base spans with the runs that begin there."""
     out = rows
-    for i, pattern in enumerate([*PATTERNS.values(), ADDRESS, NUMBER]):
+    for i, pattern in (dict(enumerate(PATTERNS.values())) | GENERATORS).items():
         gaps, matches = _split(F.col("text"), pattern)
         out = out.withColumn(f"g{i}", gaps).withColumn(f"m{i}", matches)
     # runs lie within the numbers; only texts with numbers of enough digits are looked at
@@ -228,7 +269,7 @@ def candidates(rows: DataFrame) -> DataFrame:
         masked = _replaced(lambda m, gap, after, kind=kind: F.when(passes(kind, m), F.repeat(F.lit(_MASK), F.char_length(m))))
         out = out.withColumn("__t", F.concat(F.element_at("__g", 1), F.array_join(masked, ""))).drop("__g", "__m")
     out = grouped(out, F.col("__t"))
-    return out.select("row", F.explode(F.concat(*[_found(i) for i in range(6)], _groups())).alias("c")).select("row", "c.*")
+    return out.select("row", F.explode(F.concat(*[_found(i) for i in (*range(len(BASE)), *GENERATORS)], _groups())).alias("c")).select("row", "c.*")
 
 
 def _groups() -> Column:
@@ -248,9 +289,13 @@ def _found(i: int) -> Column:
 
     def one(m: Column, k: Column) -> Column:
         gap = F.element_at(g, k + 1)
-        ok = passes(KINDS[i], m) if i < 4 else F.lit(True)
-        found = none if i < 4 else features(m, gap, F.element_at(g, k + 2), i == 4)
-        labels = none if i < 4 else _labels(m, i == 4)
+        ok = passes(BASE[i], m) if i < 4 else F.lit(True)
+        found, labels = none, none
+        if i >= 4:
+            # bound once: expressions below name it many times
+            seen = F.array(F.struct((plain_address(m) if i == 7 else m).alias("m"), gap.alias("gap"), F.element_at(g, k + 2).alias("after")))
+            both = F.transform(seen, lambda a: F.struct(features(a["m"], a["gap"], a["after"], KIND_OF[i]).alias("features"), _labels(a["m"], a["gap"], KIND_OF[i]).alias("labels")))[0]
+            found, labels = both["features"], both["labels"]
         lengths = F.char_length(gap).cast("long").alias("skip"), F.char_length(m).cast("long").alias("size")
         return F.struct(F.lit(i).alias("kind"), k.alias("pos"), *lengths, ok.alias("ok"), found.alias("features"), labels.alias("labels"), F.lit(None).cast(_RUNS).alias("runs"))
 
@@ -272,19 +317,20 @@ class Model:
         def walk(t) -> Column:
             if isinstance(t, float):
                 return F.lit(t)
-            return F.when(F.element_at(found, t[0] + 1) <= t[1], walk(t[2])).otherwise(walk(t[3]))
+            return F.when(F.get(found, F.lit(t[0])) <= t[1], walk(t[2])).otherwise(walk(t[3]))
 
         total = F.lit(self.start[kind])
         for t in self.trees[kind]:
             total = total + walk(t)
         return F.floor(total * 100)
 
-    def adds(self, found: Column, kinds: tuple[str, ...]) -> Column:
-        """The first of the kinds whose threshold the candidate reaches, as a place in KINDS (as), and its score; or nulls."""
+    def adds(self, found: Column, kinds: tuple[str, ...], scores: dict[str, Column] | None = None) -> Column:
+        """The first of the kinds whose threshold the candidate reaches, as a place in KINDS (as), and its score; or nulls.
+        scores: where they are known already."""
         out = F.lit(None).cast("struct<as: int, score: bigint>")
         for kind in reversed(kinds):
             if self.threshold[kind] < float("inf"):
-                score = self.score(kind, found)
+                score = scores[kind] if scores else self.score(kind, found)
                 out = F.when(score >= self.threshold[kind], F.struct(F.lit(KINDS.index(kind)).alias("as"), score.alias("score"))).otherwise(out)
         return out
 
@@ -339,13 +385,15 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, use: list[int], s: S
 
 
 def choose(level: np.ndarray, hits: np.ndarray, seen: np.ndarray, whole: np.ndarray, s: Settings) -> float:
-    """The threshold of a kind from the counts of its levels: of base spans, of labelled and of whole candidates."""
+    """The threshold of a kind from the counts of its levels: of positives, of labelled and of whole candidates."""
     down = np.argsort(-level)
     level, hits, seen, whole = level[down], hits[down], seen[down], whole[down]
-    good = np.cumsum(hits) >= s.precision * (np.cumsum(seen) + 1)
+    n, k, z = np.maximum(np.cumsum(seen), 1e-9), np.cumsum(hits), s.z
+    # the lower end of Wilson's interval
+    low = (k / n + z * z / (2 * n) - z * np.sqrt(np.maximum(k / n * (1 - k / n), 0) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     # no level may hide behind better ones above it
     sound = np.cumsum(2 * hits < whole) == 0
-    last = np.flatnonzero(good & sound)
+    last = np.flatnonzero((low >= s.precision) & sound)
     return float(level[last[-1]]) if len(last) else float("inf")
 
 
@@ -362,7 +410,7 @@ def train(found: DataFrame, settings: Settings | None = None) -> Model:
     y = np.array(most["labels"].to_pylist(), np.float64).reshape(-1, len(KINDS))
     w = np.array(most["n"].to_pylist(), np.float64)
     for k, kind in enumerate(KINDS):
-        fitting = (x[:, 0] == 1) == (kind == "email") if len(x) else np.zeros(0, bool)
+        fitting = x[:, 0] == next(sort for sort, kinds in KINDS_OF.items() if kind in kinds) if len(x) else np.zeros(0, bool)
         use = [i for i, f in enumerate(FEATURES) if f not in HIDDEN[kind]]
         model.trees[kind], model.start[kind] = boost(x[fitting], y[fitting, k], w[fitting], use, s)
     levels = _levels(counts, model)
@@ -374,16 +422,17 @@ def train(found: DataFrame, settings: Settings | None = None) -> Model:
 
 def _levels(counts: DataFrame, model: Model) -> np.ndarray:
     """Rows of kind, level, hits, seen, whole: the sums over all vectors of a level of a kind's score."""
-    email = F.element_at("features", 1) == 1
-    of = [F.struct(F.lit(k).alias("k"), model.score(kind, F.col("features")).alias("level"), F.get("labels", F.lit(k)).alias("y")) for k, kind in enumerate(KINDS)]
-    each = counts.select("n", F.explode(F.when(email, F.array(of[0])).otherwise(F.array(*of[1:]))).alias("c")).select("n", "c.*")
+    sort = F.element_at("features", 1)
+    of = {kind: F.struct(F.lit(k).alias("k"), model.score(kind, F.col("features")).alias("level"), F.get("labels", F.lit(k)).alias("y")) for k, kind in enumerate(KINDS)}
+    some = {n: F.array(*[of[kind] for kind in kinds]) for n, kinds in KINDS_OF.items()}
+    each = counts.select("n", F.explode(F.when(sort == 1, some[1]).when(sort == 2, some[2]).otherwise(some[0])).alias("c")).select("n", "c.*")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     sums = each.groupBy("k", "level").agg(total(F.col("y") == 1).alias("hits"), total(F.col("y") >= 0).alias("seen"), total(F.col("y") >= OPEN).alias("whole")).toArrow()
     return np.array([sums[c].to_pylist() for c in ("k", "level", "hits", "seen", "whole")], np.float64).T.reshape(-1, 5)
 
 
 def _maybe(text: Column) -> Column:
-    return F.coalesce(text.rlike("[0-9@]"), F.lit(False))
+    return F.coalesce(text.rlike(rf"[0-9@]|{SPELLED_AT}"), F.lit(False))
 
 
 def _rank(generator: Column, kind: Column, score: Column, size: Column, start: Column) -> tuple[Column, ...]:
@@ -407,9 +456,11 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Setti
     end = F.sum(F.col("skip") + F.col("size")).over(running)
     placed = found.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).where("ok")
     parts = placed.where("kind = 6 and size(runs) > 0").select("row", "start", F.explode("runs").alias("r")).select("row", F.lit(6).alias("kind"), "start", (F.col("start") + F.col("r.size")).alias("end"), "r.features")
-    every = placed.where("kind < 6").select("row", "kind", "start", "end", "features").unionByName(parts)
-    added = F.when(F.col("kind") == 4, model.adds(F.col("features"), ("email",))).when(F.col("kind") >= 5, model.adds(F.col("features"), NUMBERS))
-    every = every.withColumn("added", F.when(F.col("kind") >= 4, added))
+    every = placed.where("kind <> 6").select("row", "kind", "start", "end", "features").unionByName(parts)
+    # each score is a column, as it is compared and kept
+    of = {kind: [g for g, sort in KIND_OF.items() if kind in KINDS_OF[sort]] for kind in KINDS if model.threshold[kind] < float("inf")}
+    every = every.withColumns({f"s_{kind}": F.when(F.col("kind").isin(generators), model.score(kind, F.col("features"))) for kind, generators in of.items()})
+    every = every.withColumn("added", model.adds(F.col("features"), tuple(of), {kind: F.col(f"s_{kind}") for kind in of}))
     kind = F.when(F.col("kind") < 4, F.col("kind")).otherwise(F.col("added.as"))
     chosen = every.select("row", (F.col("kind") < 4).alias("base"), kind.alias("as"), "start", "end", F.col("kind").alias("from"), F.col("added.score").alias("score")).where(F.col("as").isNotNull())
     # a base span that reaches over an added one, from either side
@@ -431,33 +482,35 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Setti
     span = F.struct("start", "as", "end", F.concat_ws(":", name, F.col("start").cast("string"), F.col("end").cast("string")).alias("said"))
     said = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["said"]), ",")
     by_row = kept.groupBy("row").agg(
-        *[F.count(F.when(F.col("base") & (F.col("as") == i), 1)).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        *[F.count(F.when(F.col("base") & (F.col("as") == i), 1)).alias(f"n_{k}") for i, k in enumerate(BASE)],
         said(F.collect_list(F.when(F.col("base"), span))).alias("base"),
         said(F.collect_list(span)).alias("spans"),
     )
     zero, empty = F.lit(0).cast("long"), F.lit("")
-    names = [f"n_{k}" for k in KINDS]
+    names = [f"n_{k}" for k in BASE]
     with_spans = some.select("row", key).join(by_row, "row", "left").select(key, *[F.coalesce(n, zero).alias(n) for n in names], *[F.coalesce(n, empty).alias(n) for n in ("base", "spans")])
     rest = df.where(~_maybe(F.col(text))).select(key, *[zero.alias(n) for n in names], empty.alias("base"), empty.alias("spans"))
     return with_spans.unionByName(rest)
 
 
 def redact(df: DataFrame, text: str = "text", settings: Settings | None = None) -> DataFrame:
-    """df with the spans of its texts replaced by [EMAIL], [IP], [CARD] and [PHONE]. Kinds are replaced one after
+    """df with the spans of its texts replaced by [EMAIL], [IP], [CARD], [PHONE] and [SECRET]. Kinds are replaced one after
     another, then added candidates; gaps and matches are joined again, so that positions aren't needed."""
     learned = df.where(_maybe(F.col(text))).select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     model = train(candidates(learned), settings)
     flag = _maybe(F.col(f"`{text}`"))
     out = df.withColumn("__t", F.when(flag, F.col(f"`{text}`")))
-    steps: list[tuple[str, object]] = [(PATTERNS[k], (lambda m, gap, after, k=k: F.when(passes(k, m), f"[{k.upper()}]"))) for k in KINDS]
-    for pattern, address, kinds in ((ADDRESS, True, ("email",)), (GROUP, False, NUMBERS), (NUMBER, False, NUMBERS)):
+    steps: list[tuple[str, object]] = [(PATTERNS[k], (lambda m, gap, after, k=k: F.when(passes(k, m), f"[{k.upper()}]"))) for k in BASE]
+    for pattern, sort in ((ADDRESS, 1), (SPELLED, 1), (TOKEN, 2), (GROUP, 0), (NUMBER, 0)):
+        kinds = KINDS_OF[sort]
         if any(model.threshold[k] < float("inf") for k in kinds):
 
-            def added(m: Column, gap: Column, after: Column, address: bool = address, kinds: tuple = kinds) -> Column:
+            def added(m: Column, gap: Column, after: Column, pattern: str = pattern, sort: int = sort, kinds: tuple = kinds) -> Column:
                 # bound once: the trees name a feature hundreds of times
-                which = F.transform(F.array(features(m, gap, after, address)), lambda f: model.adds(f, kinds)["as"])[0]
+                plain = plain_address(m) if pattern == SPELLED else m
+                which = F.transform(F.array(features(plain, gap, after, sort)), lambda f: model.adds(f, kinds)["as"])[0]
                 # what is left of a number beside a span counts by its runs only
-                rest = F.lit(False) if address else gap.rlike(rf"{_NAME}[\x20().:/-]{{0,2}}$") | after.rlike(rf"^[\x20().:/-]{{0,2}}{_NAME}")
+                rest = F.lit(False) if sort else gap.rlike(rf"{_NAME}[\x20().:/-]{{0,2}}$") | after.rlike(rf"^[\x20().:/-]{{0,2}}{_NAME}")
                 return F.when(which.isNotNull() & ~rest, F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), which + 1))
 
             steps.append((pattern, added))
@@ -509,4 +562,4 @@ def _replaced(by) -> Column:
 def op10_pii(spark, sf_dir: str) -> DataFrame:
     """Counts and spans of personal data in every document."""
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return find(docs).select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+    return find(docs).select("doc_id", *[f"n_{k}" for k in BASE], F.sha2("base", 256).alias("base_sha256"), "spans")
