@@ -107,3 +107,22 @@ def test_quality_rules_on_odd_rows(spark):
 @pytest.mark.parametrize(("words", "n"), [([], 0), (["a"], 0), (["a"] * 3, 0), (["a"] * 4, 4), (list("abcabc"), 6), (list("abcxabc"), 6), (list("abcd"), 0)])
 def test_repeated_words(words, n):
     assert quality_rules.repeated_words([w.encode() for w in words]) == n
+
+
+def test_measured_bands_keep_the_documents_they_were_measured_on(spark):
+    rng = np.random.default_rng(4)
+    known = {"en": "the of and to in that was for with his her this from they have".split(), "xx": "un des les que dans pour sur avec est pas plus mais comme tout".split()}
+    rows = [(k, lang, " ".join(rng.choice(words, 60 + 7 * (k % 40))) + "\n") for lang, words in known.items() for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    bands = quality_rules.measure(df, rules=quality_rules.Rules(max_repeat_percent=100))
+    assert set(bands) == {"en", "xx"} and all(0 < b.low < b.high and 0 < b.piece_low for b in bands.values())
+    rules = quality_rules.Rules(max_repeat_percent=100, bands={**quality_rules.Rules().bands, **bands})
+    assert quality_rules.judge(df, rules=rules).where("kept").count() >= 0.99 * len(rows)
+    bad = spark.createDataFrame([(1, "en", " ".join("x#9%q" * 3 for _ in range(80)))], "doc_id long, lang string, text string")
+    assert quality_rules.judge(bad, rules=rules).where("kept").count() == 0
+
+
+def test_quality_of_endless_white_space(spark):
+    df = spark.createDataFrame([(1, "en", "a" + " " * 2_000_000 + "b"), (2, "en", "中" * 100_000)], "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in quality_rules.judge(df, drop_text=True).collect()}
+    assert got[1].n_words == 2 and not got[1].kept and not got[2].kept and got[2].fallback_share <= 1
