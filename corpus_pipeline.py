@@ -1,4 +1,15 @@
-"""A training corpus from raw documents, in five stages: quality rules, near duplicates, personal data, mix, tokens."""
+"""A training corpus from raw documents, in five stages: quality rules, near duplicates, personal data, mix, tokens.
+
+Edge cases, in every stage: an empty table gives an empty one of the same columns; columns beyond those of documents are
+kept up to the last stage, whatever their names (but for columns that an operator's docstring names as replaced).
+
+- quality rules: null, empty and short texts go; a null language is judged by its script; repeated rows are judged alike.
+- near duplicates: rows of one id are one document and stay or go together; rows with a null id stay; texts without words are
+  linked with none.
+- personal data: null texts stay null; texts of any length are searched whole; repeated rows are redacted alike.
+- mix: rows of one id, null among them, are taken together; rows repeat as often as they are taken, at most three times.
+- tokens: null texts have no tokens, an empty list; bytes that aren't UTF-8 count as U+FFFD.
+"""
 
 from __future__ import annotations
 
