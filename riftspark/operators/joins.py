@@ -101,7 +101,8 @@ def end_distances(traces: DataFrame, cell: float, reach: float) -> DataFrame:
 def snap_errors(traces: DataFrame, cell: float, snap: float, multiplier: float = 1.1) -> DataFrame:
     """(id, error): ends that miss another trace by more than snap and less than snap x multiplier while none is nearer.
 
-    A trace that crosses the missed one close to that end overlaps it, else it underlaps.
+    A trace that the missed one cuts anywhere, but not just touches at its ends, overlaps it; one that runs on it for a
+    stretch can't be cut there and is stacked; else it underlaps.
     """
     near = end_distances(traces, cell, snap * multiplier)
     missed = near.groupBy("id", "end", "x", "y").agg(F.min("d").alias("least")).where(F.col("least") > snap)
@@ -109,10 +110,14 @@ def snap_errors(traces: DataFrame, cell: float, snap: float, multiplier: float =
     crossed = crossings(traces, cell)
     both = crossed.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"), F.col("x").alias("px"), F.col("y").alias("py"))
     both = both.unionByName(crossed.select(F.col("b_id").alias("id"), F.col("a_id").alias("other"), F.col("x").alias("px"), F.col("y").alias("py")))
-    found = banded.join(both, ["id", "other"], "left")
-    over = F.coalesce(F.max(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")) < 2 * snap * multiplier), F.lit(False))
-    kind = found.groupBy("id", "end", "other").agg(over.alias("over"))
-    return kind.select("id", F.when(F.col("over"), "OVERLAPPING SNAP").otherwise("UNDERLAPPING SNAP").alias("error")).distinct()
+    tips = grid.ends_of(traces).groupBy("id").agg(*[F.max(F.when(F.col("end") == e, F.col(c))).alias(f"{c}{e}") for e in (0, 1) for c in ("x", "y")])
+    at_tip = lambda e: F.hypot(F.col("px") - F.col(f"x{e}"), F.col("py") - F.col(f"y{e}")) < 1e-9
+    cuts = both.join(tips, "id").where(~at_tip(0) & ~at_tip(1)).select("id", "other").distinct().withColumn("cut", F.lit(True))
+    runs = overlaps(traces, cell).groupBy("a_id", "b_id").agg(F.count_distinct("x", "y").alias("n")).where("n > 1")
+    runs = runs.select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("other")))).alias("p")).select("p.*").distinct().withColumn("run", F.lit(True))
+    kind = banded.select("id", "other").distinct().join(cuts, ["id", "other"], "left").join(runs, ["id", "other"], "left")
+    error = F.when(F.col("run"), "STACKED TRACES").when(F.col("cut"), "OVERLAPPING SNAP").otherwise("UNDERLAPPING SNAP")
+    return kind.select("id", error.alias("error")).distinct()
 
 
 def proximal(traces: DataFrame, cell: float, buffer: float, tolerance: float) -> DataFrame:

@@ -166,17 +166,20 @@ def _nelder_mead(f: Callable[[np.ndarray], float], start: Sequence[float], round
     return pts[int(np.argmin(vals))]
 
 
-def _power(x: np.ndarray, xmin: float) -> tuple[dict, np.ndarray]:
+# Each fit gives its parameters, the log likelihood of each length and the fitted share of lengths below it
+
+
+def _power(x: np.ndarray, xmin: float) -> tuple[dict, np.ndarray, np.ndarray]:
     alpha = 1 + len(x) / np.log(x / xmin).sum()
-    return {"alpha": alpha}, np.log((alpha - 1) / xmin) - alpha * np.log(x / xmin)
+    return {"alpha": alpha}, np.log((alpha - 1) / xmin) - alpha * np.log(x / xmin), 1 - (x / xmin) ** (1 - alpha)
 
 
-def _exponential(x: np.ndarray, xmin: float) -> tuple[dict, np.ndarray]:
+def _exponential(x: np.ndarray, xmin: float) -> tuple[dict, np.ndarray, np.ndarray]:
     rate = 1 / (x.mean() - xmin)
-    return {"lambda": rate}, np.log(rate) - rate * (x - xmin)
+    return {"lambda": rate}, np.log(rate) - rate * (x - xmin), -np.expm1(-rate * (x - xmin))
 
 
-def _lognormal(x: np.ndarray, xmin: float) -> tuple[dict, np.ndarray]:
+def _lognormal(x: np.ndarray, xmin: float) -> tuple[dict, np.ndarray, np.ndarray]:
     logs = np.log(x)
 
     def each(p: np.ndarray) -> np.ndarray:
@@ -185,10 +188,12 @@ def _lognormal(x: np.ndarray, xmin: float) -> tuple[dict, np.ndarray]:
         return -logs - math.log(sigma) - 0.5 * math.log(2 * math.pi) - (logs - mu) ** 2 / (2 * sigma**2) - (tail - math.log(2))
 
     p = _nelder_mead(lambda p: -each(p).sum(), [logs.mean(), logs.std() + 1e-6])
-    return {"mu": p[0], "sigma": abs(p[1]) + 1e-9}, each(p)
+    mu, sigma = float(p[0]), float(abs(p[1]) + 1e-9)
+    above = [_log_erfc((v - mu) / (math.sqrt(2) * sigma)) for v in (math.log(xmin), *logs.tolist())]
+    return {"mu": mu, "sigma": sigma}, each(p), -np.expm1(np.array(above[1:]) - above[0])
 
 
-def _truncated(x: np.ndarray, xmin: float) -> tuple[dict, np.ndarray]:
+def _truncated(x: np.ndarray, xmin: float) -> tuple[dict, np.ndarray, np.ndarray]:
     """x^-alpha exp(-rate x), normalised by quadrature over ln x."""
     steps = np.linspace(0, 30, 3001)
     grid = xmin * np.exp(steps * math.log(x.max() / xmin + 1) / 3)
@@ -202,21 +207,35 @@ def _truncated(x: np.ndarray, xmin: float) -> tuple[dict, np.ndarray]:
 
     first = _power(x, xmin)[0]["alpha"]
     p = _nelder_mead(lambda p: -each(p).sum(), [first, 1 / x.mean()])
-    return {"alpha": abs(p[0]), "lambda": abs(p[1]) + 1e-12}, each(p)
+    alpha, rate = float(abs(p[0])), float(abs(p[1]) + 1e-12)
+    w = -alpha * np.log(grid / xmin) - rate * (grid - xmin) + np.log(grid)
+    w, at = np.exp(w - w.max()), np.log(grid)
+    below = np.concatenate([[0.0], np.cumsum((w[1:] + w[:-1]) / 2 * np.diff(at))])
+    return {"alpha": alpha, "lambda": rate}, each(p), np.interp(np.log(x), at, below / below[-1])
 
 
 DISTRIBUTIONS = {"power_law": _power, "lognormal": _lognormal, "exponential": _exponential, "truncated_power_law": _truncated}
 COMPARED = (("power_law", "lognormal"), ("power_law", "exponential"), ("lognormal", "exponential"), ("power_law", "truncated_power_law"))
 
 
-def compare(first: np.ndarray, second: np.ndarray) -> tuple[float, float]:
-    """Normalised log likelihood ratio R and its two-sided p (Vuong)."""
+#: Pairs of which the first is a special case of the second.
+NESTED = {("power_law", "truncated_power_law")}
+
+
+def gap(x: np.ndarray, below: np.ndarray) -> float:
+    """The greatest distance of a fitted distribution from the share of sorted lengths below each of them."""
+    return float(np.abs(below - np.searchsorted(x, x) / len(x)).max())
+
+
+def compare(first: np.ndarray, second: np.ndarray, nested: bool = False) -> tuple[float, float]:
+    """Normalised log likelihood ratio R and its two-sided p (Vuong); of nested pairs, the p of twice the ratio as chi-square
+    with one degree of freedom (Wilks)."""
     d = first - second
     spread = math.sqrt(((d - d.mean()) ** 2).mean())
     if not spread:
         return 0.0, 1.0
     r = d.sum() / (spread * math.sqrt(len(d)))
-    return r, math.erfc(abs(r) / math.sqrt(2))
+    return r, math.erfc(math.sqrt(abs(d.sum()))) if nested else math.erfc(abs(r) / math.sqrt(2))
 
 
 def describe(x: np.ndarray, xmin: float) -> dict[str, float]:
@@ -230,13 +249,16 @@ def describe(x: np.ndarray, xmin: float) -> dict[str, float]:
         try:
             if len(x) < 3 or x[-1] <= xmin:
                 raise ValueError("too few lengths")
-            values, each[name] = fit(x, xmin)
+            values, each[name], below = fit(x, xmin)
+            d = gap(x, below)
         except (ValueError, FloatingPointError, OverflowError):
-            values = dict.fromkeys(keys, nan)
+            values, d = dict.fromkeys(keys, nan), nan
         out |= {f"{name}_{k}": float(values[k]) for k in keys}
         out[f"{name}_loglikelihood"] = float(each[name].sum()) if name in each else nan
+        out[f"{name}_d"] = d
+    out["truncated_power_law_exponent"] = 1 - out["truncated_power_law_alpha"]
     for a, b in COMPARED:
-        r, p = compare(each[a], each[b]) if a in each and b in each else (nan, nan)
+        r, p = compare(each[a], each[b], (a, b) in NESTED) if a in each and b in each else (nan, nan)
         out |= {f"{a}_vs_{b}_r": r, f"{a}_vs_{b}_p": p}
     return out
 

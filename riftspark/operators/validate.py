@@ -108,7 +108,8 @@ def stacked(traces: DataFrame, cell: float, t: Thresholds) -> DataFrame:
     """(id): traces that run along another one: on it, or for overlap x snap within stacked_buffer x snap x multiplier of it;
     and traces that another cuts into more than three pieces, or into three with a short middle one.
 
-    The second kind is tested on stretches of that length, by both ends and the middle.
+    The second kind is tested on stretches of that length at nine places: where the other trace is straight beside a stretch its ends
+    decide; one that bows out of the buffer and back between two of the places counts as running along.
     """
     on = joins.overlaps(traces, cell).groupBy("a_id", "b_id").agg(F.count_distinct("x", "y").alias("n")).where("n > 1")
     by_overlap = on.select(F.explode(F.array("a_id", "b_id")).alias("id"))
@@ -119,9 +120,9 @@ def stacked(traces: DataFrame, cell: float, t: Thresholds) -> DataFrame:
     pieces = pieces.where(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) >= step * (1 - 1e-6))
     pairs = grid.box_pairs(pieces, grid.segments_of(traces), max(cell, step), reach, ("network",)).where("a_id <> b_id")
     b = [F.col(c) for c in ("b_x0", "b_y0", "b_x1", "b_y1")]
-    mid = ((F.col("a_x0") + F.col("a_x1")) / 2, (F.col("a_y0") + F.col("a_y1")) / 2)
-    near = [geom.point_segment_distance(*at, *b) <= reach for at in ((F.col("a_x0"), F.col("a_y0")), mid, (F.col("a_x1"), F.col("a_y1")))]
-    along = pairs.groupBy("a_id", "a_seg", "b_id").agg(*[F.max(c).alias(f"n{i}") for i, c in enumerate(near)]).where("n0 and n1 and n2")
+    places = [(F.col("a_x0") + (F.col("a_x1") - F.col("a_x0")) * (k / 8), F.col("a_y0") + (F.col("a_y1") - F.col("a_y0")) * (k / 8)) for k in range(9)]
+    near = [geom.point_segment_distance(*at, *b) <= reach for at in places]
+    along = pairs.groupBy("a_id", "a_seg", "b_id").agg(*[F.max(c).alias(f"n{i}") for i, c in enumerate(near)]).where(" and ".join(f"n{i}" for i in range(9)))
     by_buffer = along.select(F.explode(F.array("a_id", "b_id")).alias("id"))
 
     crossed = joins.crossings(traces, cell)

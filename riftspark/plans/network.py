@@ -221,6 +221,8 @@ class Validation:
 
     def run(self, rules: Sequence[str] = validate.ERRORS, allow_empty: bool = True) -> DataFrame:
         """traces with their errors; allow_empty: else an area without traces is an error."""
-        if not allow_empty and self.areas is not None and joins.empty_area(self.traces.where("pts is not null"), self.areas, self.cell or 1.0):
-            raise ValueError("EMPTY TARGET AREA: no trace meets the areas")
+        if not allow_empty and self.areas is not None:
+            lines = self.traces.where("pts is not null")
+            if joins.empty_area(lines, self.areas, self.cell or grid.median_length(grid.segments_of(lines))):
+                raise ValueError("EMPTY TARGET AREA: no trace meets the areas")
         return validate.validated(self.traces, self.areas, self.cell, self.thresholds, rules, self.fix)

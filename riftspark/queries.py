@@ -154,11 +154,13 @@ def multi_scale_fit(spark, sf_dir):
     return out.select(r6("slope").alias("slope"), r6("intercept").alias("intercept"), "n")
 
 
-@query()
+@query(f"""WITH {_CCM}, k2 AS (SELECT grp, unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]::DOUBLE[]) AS q, unnest(quantile_cont(len, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8])) AS cut FROM d GROUP BY grp)
+SELECT q, round(regr_slope(ln(ccm/1048576), ln(len)), 6) AS slope, round(regr_intercept(ln(ccm/1048576), ln(len)), 6) AS intercept, round(abs(1-regr_r2(ln(ccm/1048576), ln(len))), 6) AS score, count(*) AS n FROM d JOIN k2 USING (grp) WHERE len >= cut GROUP BY 1""")
 def optimised_cut_offs(spark, sf_dir):
     t = _measured(views.order_traces(spark, sf_dir))
     areas = t.select("network").distinct().select("network", F.lit(1048576.0).alias("area"))
-    return lengths.optimised_cut_offs(t, areas)
+    out = lengths.optimised_cut_offs(t, areas)
+    return out.select("q", r6("slope").alias("slope"), r6("intercept").alias("intercept"), r6("score").alias("score"), "n")
 
 
 @query(f"WITH {ORDERS_SQL}, {_MEASURED} SELECT grp AS network, round(avg(CASE WHEN len < 4 THEN 1 ELSE 0 END), 6) AS share, round(CASE WHEN count(*) > 50 THEN 1.36/sqrt(count(*)) ELSE 'nan'::DOUBLE END, 6) AS critical FROM m GROUP BY 1")
@@ -244,6 +246,13 @@ def crossings(spark, sf_dir):
     return out.select("network", "a_id", "b_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
+_MET = "m AS (SELECT grp, a_id AS id, b_id AS other, x, y FROM c UNION ALL SELECT grp, b_id, a_id, x, y FROM c)"
+_ON = lambda p, s, i: f"({p}.x{i} BETWEEN least({s}.x0,{s}.x1) AND greatest({s}.x0,{s}.x1) AND {p}.y{i} BETWEEN least({s}.y0,{s}.y1) AND greatest({s}.y0,{s}.y1))"
+_TOUCH = _HIT.replace(f" AND {_DEN} <> 0", "")
+#: Ends of the common part of parallel segments that meet; traces that run on each other for a stretch.
+_OVERLAPPED = "o AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(f"SELECT a.grp, a.id AS a_id, b.id AS b_id, {p}.x{i} AS x, {p}.y{i} AS y FROM l a JOIN l b ON a.grp = b.grp AND a.id < b.id AND {_TOUCH} AND {_DEN} = 0 AND {_ON(p, s, i)}" for p, s in ("ab", "ba") for i in (0, 1)) + "))"
+_ALONG = "r AS (SELECT DISTINCT unnest([{'id': a_id, 'other': b_id}, {'id': b_id, 'other': a_id}], recursive := true) FROM (SELECT a_id, b_id FROM o GROUP BY 1, 2 HAVING count(*) > 1))"
+
 _POLY_SEG = "l AS (" + " UNION ALL ".join(f"SELECT id, grp, x{k} AS x0, y{k} AS y0, x{k + 1} AS x1, y{k + 1} AS y1 FROM p" for k in range(4)) + ")"
 
 
@@ -267,12 +276,20 @@ def near_nodes(spark, sf_dir):
     return joins.junctions(nodes, 0.55, 1)
 
 
-@query()
+#: Nodes of traces: where others meet them, but not where ends of both coincide; and ends without such a node nearby.
+_NODES = f"""{_ENDS}, {_CROSSED}, {_OVERLAPPED}, z AS (SELECT * FROM c UNION ALL SELECT * FROM o), m AS (SELECT grp, a_id AS id, b_id AS other, x, y FROM z UNION ALL SELECT grp, b_id, a_id, x, y FROM z),
+own AS (SELECT DISTINCT m.* FROM m JOIN e ON e.id = m.id AND sqrt(pow(m.x-e.x, 2)+pow(m.y-e.y, 2)) < 1e-4), common AS (SELECT p.* FROM own p JOIN own q ON p.id = q.other AND p.other = q.id AND p.x = q.x AND p.y = q.y),
+met AS (SELECT DISTINCT id, grp, x, y FROM (SELECT * FROM m EXCEPT SELECT * FROM common)), free AS (SELECT id, grp, x, y FROM e WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.id = e.id AND sqrt(pow(met.x-e.x, 2)+pow(met.y-e.y, 2)) < 1e-3))"""
+_JUNCTIONS = lambda nodes, n: f"""k AS (SELECT a.id, a.x, a.y, count(*) AS n, list(b.id) AS others FROM {nodes} a JOIN {nodes} b ON a.grp = b.grp AND a.id <> b.id AND sqrt(pow(a.x-b.x, 2)+pow(a.y-b.y, 2)) < 0.55 GROUP BY 1, 2, 3 HAVING count(*) >= {n})
+SELECT DISTINCT unnest(list_append(others, id)) AS id FROM k"""
+
+
+@query(f"WITH {ORDERS_SQL}, {_NODES}, every AS (SELECT * FROM met UNION ALL SELECT * FROM free), {_JUNCTIONS('every', 2)}")
 def multi_junctions(spark, sf_dir):
     return joins.multi_junctions(views.order_traces(spark, sf_dir), CELL, 0.5)
 
 
-@query()
+@query(f"WITH {ORDERS_SQL}, {_NODES}, {_JUNCTIONS('free', 1)}")
 def v_nodes(spark, sf_dir):
     return joins.v_nodes(views.order_traces(spark, sf_dir), CELL, 0.5)
 
@@ -291,9 +308,13 @@ def end_distances(spark, sf_dir):
 
 @query(f"""WITH {ORDERS_SQL}, {_ENDS}, d AS (SELECT e.id, e.k, l.id AS other, {_PSD} AS d FROM e JOIN l ON e.grp = l.grp AND e.id <> l.id
   AND e.x BETWEEN least(l.x0, l.x1)-0.55 AND greatest(l.x0, l.x1)+0.55 AND e.y BETWEEN least(l.y0, l.y1)-0.55 AND greatest(l.y0, l.y1)+0.55),
-n AS (SELECT id, k, min(d) AS least FROM d WHERE d < 0.55 GROUP BY 1, 2) SELECT DISTINCT id FROM n WHERE least > 0.5""")
+n AS (SELECT id, k, min(d) AS least FROM d WHERE d < 0.55 GROUP BY 1, 2 HAVING min(d) > 0.5),
+{_CROSSED}, {_MET}, u AS (SELECT DISTINCT m.id, m.other FROM m JOIN l USING (id) WHERE NOT (abs(m.x-l.x0) + abs(m.y-l.y0) < 1e-9) AND NOT (abs(m.x-l.x1) + abs(m.y-l.y1) < 1e-9)),
+{_OVERLAPPED}, {_ALONG}
+SELECT DISTINCT d.id, CASE WHEN r.id IS NOT NULL THEN 'STACKED TRACES' WHEN u.id IS NOT NULL THEN 'OVERLAPPING SNAP' ELSE 'UNDERLAPPING SNAP' END AS error
+FROM d JOIN n USING (id, k) LEFT JOIN u ON u.id = d.id AND u.other = d.other LEFT JOIN r ON r.id = d.id AND r.other = d.other WHERE d.d < 0.55""")
 def snap_misses(spark, sf_dir):
-    return joins.snap_errors(views.order_traces(spark, sf_dir), CELL, 0.5).select("id").distinct()
+    return joins.snap_errors(views.order_traces(spark, sf_dir), CELL, 0.5)
 
 
 _P = lambda p, i, q: f"sqrt(pow({p}.x{i}-({q}.x0+least(1.0,greatest(0.0,(({p}.x{i}-{q}.x0)*({q}.x1-{q}.x0)+({p}.y{i}-{q}.y0)*({q}.y1-{q}.y0))/(({q}.x1-{q}.x0)*({q}.x1-{q}.x0)+({q}.y1-{q}.y0)*({q}.y1-{q}.y0))))*({q}.x1-{q}.x0)),2)+pow({p}.y{i}-({q}.y0+least(1.0,greatest(0.0,(({p}.x{i}-{q}.x0)*({q}.x1-{q}.x0)+({p}.y{i}-{q}.y0)*({q}.y1-{q}.y0))/(({q}.x1-{q}.x0)*({q}.x1-{q}.x0)+({q}.y1-{q}.y0)*({q}.y1-{q}.y0))))*({q}.y1-{q}.y0)),2))"
@@ -335,18 +356,21 @@ _MEETS = f"(x1<>x0 OR (x0 >= {BOX[0]} AND x0 <= {BOX[2]})) AND (y1<>y0 OR (y0 >=
 _EDGE = lambda x, y: f"(NOT {_IN(x, y)} AND {x} BETWEEN {BOX[0]} AND {BOX[2]} AND {y} BETWEEN {BOX[1]} AND {BOX[3]})"
 
 
-@query(f"""WITH {ORDERS_SQL}, f AS (SELECT id, {_MEETS} AS near, {_EDGE('x0', 'y0')} AND {_EDGE('x1', 'y1')} AS all_edge, {_IN('x0', 'y0')} OR {_IN('x1', 'y1')} AS inside, {_EDGE('x0', 'y0')} OR {_EDGE('x1', 'y1')} AS any_edge FROM l),
-g AS (SELECT id, near::INTEGER + (all_edge OR (NOT inside AND NOT any_edge AND near))::INTEGER AS crossings, any_edge AND NOT all_edge AS unsure FROM f)
-SELECT id AS trace_id, crossings, CASE crossings WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS weight FROM g WHERE NOT unsure""")
+@query(f"""WITH {ORDERS_SQL}, f AS (SELECT id, {_MEETS} AS near, {_EDGE('x0', 'y0')} AND {_EDGE('x1', 'y1')} AS all_edge, {_IN('x0', 'y0')} OR {_IN('x1', 'y1')} AS inside FROM l),
+g AS (SELECT id, near::INTEGER + (all_edge OR (NOT inside AND near))::INTEGER AS crossings FROM f)
+SELECT id AS trace_id, crossings, CASE crossings WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS weight FROM g""")
 def boundary_weights(spark, sf_dir):
+    """Of all traces; an end on a side isn't inside."""
     t = views.order_traces(spark, sf_dir)
-    # ends that lie on a side count as inside or not as the ray falls: they are left out of the comparison
-    edge = lambda p: p["x"].between(BOX[0], BOX[2]) & p["y"].between(BOX[1], BOX[3]) & (p["x"].isin(BOX[0], BOX[2]) | p["y"].isin(BOX[1], BOX[3]))
-    sure = t.where(edge(geom.start("pts")) == edge(geom.end("pts")))
-    return joins.boundary_counts(joins.boundary_flags(sure, _box(spark, t), CELL, 0.01))
+    return joins.boundary_counts(joins.boundary_flags(t, _box(spark, t), CELL, 0.01))
 
 
-@query()
+_SIDES = "b AS (" + " UNION ALL ".join(f"SELECT {x0}::DOUBLE AS x0, {y0}::DOUBLE AS y0, {x1}::DOUBLE AS x1, {y1}::DOUBLE AS y1" for x0, y0, x1, y1 in ((BOX[0], BOX[1], BOX[2], BOX[1]), (BOX[2], BOX[1], BOX[2], BOX[3]), (BOX[2], BOX[3], BOX[0], BOX[3]), (BOX[0], BOX[3], BOX[0], BOX[1]))) + ")"
+
+
+@query(f"""WITH {ORDERS_SQL}, {_ENDS}, {_SIDES}, i AS (SELECT *, least(x-{BOX[0]}, {BOX[2]}-x, y-{BOX[1]}, {BOX[3]}-y) AS d FROM e WHERE {_IN('x', 'y')}), n AS (SELECT * FROM i WHERE d >= 0.25 AND d < 0.25*1.1*1.5),
+k AS (SELECT a.id, a.x0+{_T}*(a.x1-a.x0) AS px, a.y0+{_T}*(a.y1-a.y0) AS py FROM l a JOIN b ON {_HIT})
+SELECT DISTINCT id FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.id = n.id AND sqrt(pow(px-x, 2)+pow(py-y, 2)) < 2*0.25*1.1*1.5)""")
 def target_area_underlaps(spark, sf_dir):
     t = views.order_traces(spark, sf_dir)
     return joins.target_area_underlaps(t, _box(spark, t), CELL, 0.25)
@@ -359,23 +383,49 @@ def _topology(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return branches, topology.nodes_of(branches, None, CELL, 1e-9)
 
 
-@query()
+#: Where segments meet, an end that lies there exactly; pieces between such points, each once; nodes by the ends of pieces.
+_AT = lambda c: " ".join(["CASE", *[f"WHEN {_cross(s, o, p, i)} = 0 THEN {p}.{c}{i}" for p, s, o in (("a", "b", "a"), ("b", "a", "b")) for i in (0, 1)], f"ELSE a.{c}0+{_T}*(a.{c}1-a.{c}0) END"])
+_BRANCHED = f"""c AS (SELECT a.grp, a.id AS a_id, b.id AS b_id, {_AT('x')} AS x, {_AT('y')} AS y FROM l a JOIN l b ON a.grp = b.grp AND a.id < b.id AND {_HIT}), {_OVERLAPPED},
+z AS (SELECT * FROM c UNION ALL SELECT * FROM o), w AS (SELECT a_id AS id, x, y FROM z UNION SELECT b_id, x, y FROM z UNION SELECT id, x0, y0 FROM l UNION SELECT id, x1, y1 FROM l),
+v AS (SELECT l.id, l.grp, w.x, w.y, greatest(0.0, least(1.0, ((w.x-x0)*(x1-x0)+(w.y-y0)*(y1-y0))/((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)))) AS t FROM w JOIN l USING (id)),
+q AS (SELECT id, grp, x, y, lead(x) OVER s AS nx, lead(y) OVER s AS ny, row_number() OVER s - 1 AS piece FROM v WINDOW s AS (PARTITION BY id ORDER BY t, x, y)),
+u AS (SELECT *, sqrt((nx-x)*(nx-x)+(ny-y)*(ny-y)) AS len FROM q WHERE nx IS NOT NULL AND sqrt((nx-x)*(nx-x)+(ny-y)*(ny-y)) > 1.01e-9),
+p AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY grp, least((x, y), (nx, ny)), greatest((x, y), (nx, ny)) ORDER BY id, piece) = 1),
+s AS (SELECT id, piece, grp, x, y, len FROM p UNION ALL SELECT id, piece, grp, nx, ny, len FROM p),
+n AS (SELECT grp, x, y, CASE WHEN count(*) <= 2 THEN 'I' WHEN count(*) = 3 THEN 'Y' ELSE 'X' END AS class FROM s GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {ORDERS_SQL}, {_BRANCHED}, k AS (SELECT s.id, piece, count(*) FILTER (WHERE class = 'I') AS i FROM s JOIN n ON s.grp = n.grp AND s.x = n.x AND s.y = n.y GROUP BY 1, 2)
+SELECT p.id AS trace_id, p.piece::INTEGER AS piece, grp AS network, round(len, 6) AS length, CASE i WHEN 0 THEN 'C-C' WHEN 1 THEN 'C-I' ELSE 'I-I' END AS connection FROM p JOIN k USING (id, piece)""")
 def branches(spark, sf_dir):
     found, nodes = _topology(spark, sf_dir)
     return topology.classified(found, nodes).select("trace_id", "piece", "network", r6(geom.length("pts")).alias("length"), "connection")
 
 
-@query()
+@query(f"WITH {ORDERS_SQL}, {_BRANCHED} SELECT grp AS network, count(*) FILTER (WHERE class = 'X') AS \"X\", count(*) FILTER (WHERE class = 'Y') AS \"Y\", count(*) FILTER (WHERE class = 'I') AS \"I\", 0::BIGINT AS \"E\" FROM n GROUP BY 1")
 def node_counts(spark, sf_dir):
     return params.node_counts(_topology(spark, sf_dir)[1])
 
 
-@query()
+_XYI = f"{_MEASURED}, {_BRANCHED}, g AS (SELECT grp, count(*) FILTER (WHERE class = 'X') AS nx, count(*) FILTER (WHERE class = 'Y') AS ny, count(*) FILTER (WHERE class = 'I') AS ni FROM n GROUP BY 1)"
+
+
+@query(f"""WITH {ORDERS_SQL}, {_XYI}, f AS (SELECT grp, count(*) AS n, sum(len) AS total, avg(len) AS mean FROM m GROUP BY 1), h AS (SELECT grp, count(*) AS bn, min(len) AS bmin, max(len) AS bmax FROM p GROUP BY 1),
+d AS (SELECT *, (ny+ni)/2.0 AS tn, (4*nx+3*ny+ni)/2.0 AS br, total/1048576 AS p21 FROM g JOIN f USING (grp) JOIN h USING (grp))
+SELECT grp AS network, n, bn, round(tn, 6) AS traces, round(br, 6) AS branches, round(bmin, 6) AS branch_min, round(bmax, 6) AS branch_max, round(total/br, 6) AS branch_mean, round(1e6*tn/1048576, 6) AS p20, round(1e6*br/1048576, 6) AS b20,
+round(p21*total/br, 6) AS b22, round(2*(ny+nx)/tn, 6) AS per_trace, round((3*ny+4*nx)/br, 6) AS per_branch, round(1e6*(ny+nx)/1048576, 6) AS frequency, 0.0::DOUBLE AS mauldon, round(1e6*(ni+ny)/(2*1048576.0), 6) AS density FROM d""")
 def topology_parameters(spark, sf_dir):
     found, nodes = _topology(spark, sf_dir)
     t = _measured(views.order_traces(spark, sf_dir))
     areas = t.select("network").distinct().select("network", F.lit(1048576.0).alias("area"))
-    return params.topology_parameters(t, areas, nodes, found.withColumn("length", geom.length("pts")), circular=True)
+    p = params.topology_parameters(t, areas, nodes, found.withColumn("length", geom.length("pts")), circular=True)
+    of = lambda name, by=1.0: F.round(F.col(f"`{name}`") * by, 6)
+    return p.select(
+        "network", F.col("`Number of Traces (Real)`").cast("long").alias("n"), F.col("`Number of Branches (Real)`").cast("long").alias("bn"), of("Number of Traces").alias("traces"), of("Number of Branches").alias("branches"),
+        of("Branch Min Length").alias("branch_min"), of("Branch Max Length").alias("branch_max"), of("Branch Mean Length").alias("branch_mean"), of("Areal Frequency P20", 1e6).alias("p20"), of("Areal Frequency B20", 1e6).alias("b20"),
+        of("Dimensionless Intensity B22").alias("b22"), of("Connections per Trace").alias("per_trace"), of("Connections per Branch").alias("per_branch"), of("Connection Frequency", 1e6).alias("frequency"),
+        of("Trace Mean Length (Mauldon)").alias("mauldon"), of("Fracture Density (Mauldon)", 1e6).alias("density"),
+    )
 
 
 _D = "(CASE WHEN abs(az-{a}) <= 90 THEN abs(az-{a}) ELSE 180.0-abs(az-{a}) END)"
@@ -394,7 +444,14 @@ def ternary_points(spark, sf_dir):
     return params.ternary(c, ("a", "b", "c")).select("network", *[r6(k).alias(k) for k in ("p1", "p2", "p3")])
 
 
-@query()
+_NODE_AT = _PSD.replace("e.", "n.")
+
+
+@query(f"""WITH {ORDERS_SQL}, {_MEASURED}, {_BRANCHED}, a AS (SELECT id, {_SET} AS k FROM m), near AS (SELECT DISTINCT n.grp, n.x, n.y, n.class, l.id, least(sqrt(pow(n.x-l.x0, 2)+pow(n.y-l.y0, 2)), sqrt(pow(n.x-l.x1, 2)+pow(n.y-l.y1, 2))) <= 0.001 AS at_end
+  FROM n JOIN l ON n.grp = l.grp AND n.class IN ('X', 'Y') AND n.x BETWEEN least(l.x0, l.x1)-0.001 AND greatest(l.x0, l.x1)+0.001 AND n.y BETWEEN least(l.y0, l.y1)-0.001 AND greatest(l.y0, l.y1)+0.001 AND {_NODE_AT} <= 0.001),
+h AS (SELECT near.grp, x, y, class, k, max(at_end) AS at_end FROM near JOIN a USING (id) WHERE k <> '-1' GROUP BY 1, 2, 3, 4, 5), f AS (SELECT DISTINCT grp, k FROM m JOIN a USING (id) WHERE k <> '-1'),
+g AS (SELECT i.grp, i.k AS first, j.k AS second, count(*) FILTER (WHERE i.class = 'X') AS x, count(*) FILTER (WHERE i.class = 'Y' AND i.at_end) AS y, count(*) FILTER (WHERE i.class = 'Y' AND NOT i.at_end) AS r FROM h i JOIN h j ON i.grp = j.grp AND i.x = j.x AND i.y = j.y AND i.k < j.k GROUP BY 1, 2, 3)
+SELECT i.grp AS network, i.k AS first, j.k AS second, coalesce(g.x, 0) AS x, coalesce(g.y, 0) AS y, coalesce(r, 0) AS y_reverse, 0::BIGINT AS error_count FROM f i JOIN f j ON i.grp = j.grp AND i.k < j.k LEFT JOIN g ON g.grp = i.grp AND g.first = i.k AND g.second = j.k""")
 def azimuth_set_relations(spark, sf_dir):
     t = _measured(views.order_traces(spark, sf_dir)).withColumn("azimuth_set", geom.set_of(F.col("azimuth"), SETS[1], SETS[0], around=True))
     return params.relations(t, _topology(spark, sf_dir)[1], "azimuth_set", SETS[0], 0.001, CELL)
@@ -429,11 +486,15 @@ def bounding_areas(spark, sf_dir):
     return sampling.bounding_polygons(views.order_traces(spark, sf_dir)).select("network", r6(geom.polygon_area("rings")).alias("area"))
 
 
-@query()
+@query(f"""WITH {ORDERS_SQL}, {_MEASURED}, c AS (SELECT grp, id % 100 AS k, count(*) FILTER (WHERE len < 4) AS a, count(*) FILTER (WHERE len >= 4 AND len < 8) AS b, count(*) FILTER (WHERE len >= 8) AS c FROM m GROUP BY 1, 2),
+n AS (SELECT grp, least(floor(100.0*a/(a+b+c)/2.5)::INTEGER, 39) AS i, least(floor(100.0*c/(a+b+c)/2.5)::INTEGER, 39) AS j, count(*) AS n FROM c GROUP BY 1, 2, 3),
+w AS (SELECT k, exp(-k*k/8.0) AS w FROM (SELECT unnest(range(-8, 9)) AS k)), z AS (SELECT k, w / (SELECT sum(w) FROM w) AS w FROM w),
+s AS (SELECT grp, (i+a.k)::INTEGER AS i, (j+b.k)::INTEGER AS j, sum(n*a.w*b.w) AS smooth FROM n, z a, z b WHERE i+a.k BETWEEN 0 AND 39 AND j+b.k BETWEEN 0 AND 39 GROUP BY 1, 2, 3)
+SELECT grp AS network, s.i, s.j, coalesce(n.n, 0) AS n, round(smooth, 6) AS smooth FROM s LEFT JOIN n USING (grp, i, j)""")
 def ternary_heatmap(spark, sf_dir):
     m = _measured(views.order_traces(spark, sf_dir)).withColumn("k", F.col("trace_id") % 100)
     c = m.groupBy("network", "k").agg(F.count(F.when(F.col("length") < 4, 1)).alias("a"), F.count(F.when((F.col("length") >= 4) & (F.col("length") < 8), 1)).alias("b"), F.count(F.when(F.col("length") >= 8, 1)).alias("c"))
-    return params.ternary_heatmap(params.ternary(c, ("a", "b", "c"), ["network", "k"]), by=["network"])
+    return params.ternary_heatmap(params.ternary(c, ("a", "b", "c"), ["network", "k"]), by=["network"]).withColumn("smooth", r6("smooth"))
 
 
 @query()

@@ -167,3 +167,30 @@ def test_too_many_properties_are_an_error(spark, tmp_path, monkeypatch):
     (tmp_path / "f.geojson").write_text('{"features": [{"geometry": null, "properties": {"a": 1, "b": 2, "c": 3}}]}')
     with pytest.raises(ValueError, match="properties"):
         vector.features(spark, str(tmp_path / "f.geojson"))
+
+
+def test_fit_descriptions_against_plain_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = np.sort(rng.lognormal(0.3, 0.9, 300))
+    fits = lengths.powerlaw_fit(lines(spark, x), xmin=0.8)
+    got = lengths.describe_fits(lines(spark, x), fits).first().asDict()
+    t = x[x >= 0.8]
+    n, below = len(t), np.arange(len(t)) / len(t)
+    alpha, rate = 1 + n / np.log(t / 0.8).sum(), 1 / (t - 0.8).mean()
+    power, exponential = np.log((alpha - 1) / 0.8) - alpha * np.log(t / 0.8), np.log(rate) - rate * (t - 0.8)
+    assert got["power_law_alpha"] == pytest.approx(alpha) and got["exponential_lambda"] == pytest.approx(rate)
+    assert got["power_law_d"] == pytest.approx(np.abs(1 - (t / 0.8) ** (1 - alpha) - below).max())
+    assert got["exponential_d"] == pytest.approx(np.abs(1 - np.exp(-rate * (t - 0.8)) - below).max())
+    d = power - exponential
+    r = d.sum() / (d.std() * math.sqrt(n))
+    assert got["power_law_vs_exponential_r"] == pytest.approx(r) and got["power_law_vs_exponential_p"] == pytest.approx(math.erfc(abs(r) / math.sqrt(2)))
+    # by brute force over a fine lattice of parameters
+    at = np.exp(np.linspace(math.log(0.8), math.log(t[-1] * 60), 20_001))
+    best = max(((-a * np.log(t / 0.8) - b * (t - 0.8)).sum() - n * math.log(np.trapezoid((at / 0.8) ** -a * np.exp(-b * (at - 0.8)), at)), a, b) for a in np.linspace(0.3, 2.5, 45) for b in np.linspace(0.01, 0.9, 45))
+    assert got["truncated_power_law_loglikelihood"] >= best[0] - 1e-3 and abs(got["truncated_power_law_alpha"] - best[1]) < 0.1 and got["truncated_power_law_exponent"] == pytest.approx(1 - got["truncated_power_law_alpha"])
+    # the power law is a case of the truncated one: p of twice the difference of the likelihoods
+    more = got["truncated_power_law_loglikelihood"] - got["power_law_loglikelihood"]
+    assert more > 0 and got["power_law_vs_truncated_power_law_p"] == pytest.approx(math.erfc(math.sqrt(more)), rel=1e-6)
+    normal = lambda v: 0.5 * math.erfc(-(v - got["lognormal_mu"]) / (got["lognormal_sigma"] * math.sqrt(2)))
+    share = np.array([(normal(math.log(v)) - normal(math.log(0.8))) / (1 - normal(math.log(0.8))) for v in t])
+    assert got["lognormal_d"] == pytest.approx(np.abs(share - below).max(), abs=1e-9)
