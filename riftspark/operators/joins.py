@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +51,26 @@ def multiple_crosscuts(crossed: DataFrame, least: int = 3) -> DataFrame:
     return many.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct()
 
 
-def intersection_nodes(traces: DataFrame, cell: float) -> DataFrame:
-    """(id, network, x, y): for each trace where others meet it, but not where ends of both coincide."""
-    crossed = crossings(traces, cell).unionByName(overlaps(traces, cell))
+class Met(NamedTuple):
+    """What several rules need of where traces meet; see crossings(), overlaps(), intersection_nodes() and free_ends()."""
+
+    crossed: DataFrame
+    overlapped: DataFrame
+    nodes: DataFrame
+    free: DataFrame
+
+
+def meetings(traces: DataFrame, cell: float) -> Met:
+    """Where traces meet, each table computed once and stored."""
+    crossed, overlapped = cut(crossings(traces, cell)), cut(overlaps(traces, cell))
+    nodes = cut(intersection_nodes(traces, cell, crossed, overlapped))
+    return Met(crossed, overlapped, nodes, cut(free_ends(traces, nodes)))
+
+
+def intersection_nodes(traces: DataFrame, cell: float, crossed: DataFrame | None = None, overlapped: DataFrame | None = None) -> DataFrame:
+    """(id, network, x, y): for each trace where others meet it, but not where ends of both coincide. crossed and overlapped:
+    where they are known already."""
+    crossed = (crossings(traces, cell) if crossed is None else crossed).unionByName(overlaps(traces, cell) if overlapped is None else overlapped)
     both = crossed.select("network", F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("other")))).alias("s"), "x", "y")
     both = both.select("network", "s.id", "s.other", "x", "y")
     ends = grid.ends_of(traces)
@@ -78,15 +97,15 @@ def junctions(nodes: DataFrame, reach: float, threshold: int) -> DataFrame:
     return faulty.select(F.explode(F.array_append(F.col("others"), F.col("a_id"))).alias("id")).distinct()
 
 
-def multi_junctions(traces: DataFrame, cell: float, snap: float, multiplier: float = 1.1) -> DataFrame:
+def multi_junctions(traces: DataFrame, cell: float, snap: float, multiplier: float = 1.1, met: Met | None = None) -> DataFrame:
     """(id): traces with two foreign nodes, ends or intersections, near one of their own."""
-    met = intersection_nodes(traces, cell)
-    return junctions(met.unionByName(free_ends(traces, met)), snap * multiplier, 2)
+    nodes = met.nodes if met else intersection_nodes(traces, cell)
+    return junctions(nodes.unionByName(met.free if met else free_ends(traces, nodes)), snap * multiplier, 2)
 
 
-def v_nodes(traces: DataFrame, cell: float, snap: float, multiplier: float = 1.1) -> DataFrame:
+def v_nodes(traces: DataFrame, cell: float, snap: float, multiplier: float = 1.1, met: Met | None = None) -> DataFrame:
     """(id): traces with a free end near a free end of another."""
-    return junctions(free_ends(traces, intersection_nodes(traces, cell)), snap * multiplier, 1)
+    return junctions(met.free if met else free_ends(traces, intersection_nodes(traces, cell)), snap * multiplier, 1)
 
 
 def end_distances(traces: DataFrame, cell: float, reach: float) -> DataFrame:
@@ -98,7 +117,7 @@ def end_distances(traces: DataFrame, cell: float, reach: float) -> DataFrame:
     return near.groupBy(F.col("a_id").alias("id"), F.col("a_end").alias("end"), F.col("a_x").alias("x"), F.col("a_y").alias("y"), F.col("b_id").alias("other")).agg(F.min("d").alias("d"))
 
 
-def snap_errors(traces: DataFrame, cell: float, snap: float, multiplier: float = 1.1) -> DataFrame:
+def snap_errors(traces: DataFrame, cell: float, snap: float, multiplier: float = 1.1, met: Met | None = None) -> DataFrame:
     """(id, error): ends that miss another trace by more than snap and less than snap x multiplier while none is nearer.
 
     A trace that the missed one cuts anywhere, but not just touches at its ends, overlaps it; one that runs on it for a
@@ -107,13 +126,13 @@ def snap_errors(traces: DataFrame, cell: float, snap: float, multiplier: float =
     near = end_distances(traces, cell, snap * multiplier)
     missed = near.groupBy("id", "end", "x", "y").agg(F.min("d").alias("least")).where(F.col("least") > snap)
     banded = missed.join(near, ["id", "end", "x", "y"]).where(F.col("d") > snap)
-    crossed = crossings(traces, cell)
+    crossed = met.crossed if met else crossings(traces, cell)
     both = crossed.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"), F.col("x").alias("px"), F.col("y").alias("py"))
     both = both.unionByName(crossed.select(F.col("b_id").alias("id"), F.col("a_id").alias("other"), F.col("x").alias("px"), F.col("y").alias("py")))
     tips = grid.ends_of(traces).groupBy("id").agg(*[F.max(F.when(F.col("end") == e, F.col(c))).alias(f"{c}{e}") for e in (0, 1) for c in ("x", "y")])
     at_tip = lambda e: F.hypot(F.col("px") - F.col(f"x{e}"), F.col("py") - F.col(f"y{e}")) < 1e-9
     cuts = both.join(tips, "id").where(~at_tip(0) & ~at_tip(1)).select("id", "other").distinct().withColumn("cut", F.lit(True))
-    runs = overlaps(traces, cell).groupBy("a_id", "b_id").agg(F.count_distinct("x", "y").alias("n")).where("n > 1")
+    runs = (met.overlapped if met else overlaps(traces, cell)).groupBy("a_id", "b_id").agg(F.count_distinct("x", "y").alias("n")).where("n > 1")
     runs = runs.select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("other")))).alias("p")).select("p.*").distinct().withColumn("run", F.lit(True))
     kind = banded.select("id", "other").distinct().join(cuts, ["id", "other"], "left").join(runs, ["id", "other"], "left")
     error = F.when(F.col("run"), "STACKED TRACES").when(F.col("cut"), "OVERLAPPING SNAP").otherwise("UNDERLAPPING SNAP")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riftspark.functions import geom
+from riftspark.functions.lineage import cut
 from riftspark.operators import grid, joins, lengths, overlay, params, sampling, topology, validate
 from riftspark.sources import views
 from riftspark.sources.views import EMBEDDINGS_SQL, ORDERS_SQL
@@ -379,7 +380,7 @@ def target_area_underlaps(spark, sf_dir):
 def _topology(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Branches and nodes of the unsnapped orders view."""
     t = views.order_traces(spark, sf_dir)
-    branches = topology.branches_of(t, CELL, 1e-9)
+    branches = cut(topology.branches_of(t, CELL, 1e-9))
     return branches, topology.nodes_of(branches, None, CELL, 1e-9)
 
 

@@ -108,3 +108,10 @@ def test_row_rules_on_a_stream(spark, tmp_path):
     totals.processAllAvailable()
     totals.stop()
     assert spark.table("totals").select(F.col("n")).first()[0] == 2
+
+
+def test_an_end_beyond_a_bend_overlaps_whatever_the_distance(spark):
+    """A trace that the missed one cuts elsewhere overlaps it, one that it doesn't cut underlaps."""
+    rows = [(1, "n", [(0, -1), (0, 4.9895)]), (2, "n", [(-1, 0), (3, 0), (3, 5), (-1, 5)]), (3, "n", [(20, 0), (20, 4.9895)]), (4, "n", [(19, 5), (21, 5)])]
+    got = {(r.id, r.error) for r in joins.snap_errors(lines_from(spark, rows), 1.0, 0.01).collect()}
+    assert got == {(1, "OVERLAPPING SNAP"), (3, "UNDERLAPPING SNAP")}
