@@ -5,6 +5,8 @@ Random draws are hashes of (seed, network, sample), so that a lost task draws th
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,8 +71,6 @@ def parameters_in_circles(traces: DataFrame, circles: DataFrame, cell: float, no
     """(network, id, parameters) of each circle: lines are clipped to it, nodes counted in it. corners: the area is that of
     a polygon with so many corners; None: of the circle."""
     by = ["network", "id"]
-    import math
-
     unit = corners / 2 * math.sin(2 * math.pi / corners) if corners else math.pi
     areas = circles.select(*by, (F.col("r") * F.col("r") * unit).alias("area"))
     clipped = lengths_in_circles(traces, circles, cell)
@@ -101,8 +101,11 @@ def uniform(seed: int, *columns: str | Column) -> Column:
 
 def random_circles(areas: DataFrame, samples: int, least_radius: float, by_area: bool = False, seed: int = 0) -> DataFrame:
     """(network, id, x, y, r): random circles inside circular areas (network, x, y, r). Radii, or areas, are uniform from the
-    least to the area's own; centres are uniform where the circle stays inside."""
-    rows = areas.where(F.col("r") >= least_radius).withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
+    least to the area's own; centres are uniform where the circle stays inside. An area of a lesser radius is an error."""
+    if samples < 1 or not 0 < least_radius < math.inf:
+        raise ValueError("samples and the least radius must be above 0")
+    own = F.when(F.col("r") >= least_radius, F.col("r")).otherwise(F.raise_error(F.lit("an area is smaller than the least radius")).cast("double"))
+    rows = areas.withColumn("r", own).withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(samples - 1).cast("long"))))
     u, v, w = (uniform(seed + k, "network", "id") for k in range(3))
     low = F.lit(float(least_radius))
     radius = F.sqrt(low * low + u * (F.col("r") * F.col("r") - low * low)) if by_area else low + u * (F.col("r") - low)
@@ -143,6 +146,20 @@ def subsample(traces: DataFrame, areas: DataFrame, samples: int, least_radius: f
     return parameters_in_circles(traces, circles, 2 * least_radius, nodes, branches).join(circles.select("network", "id", "x", "y", "r"), ["network", "id"])
 
 
+def sample_networks(traces: DataFrame, circles: DataFrame, cell: float, corners: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Traces and areas in which each circle (network, id, x, y, r) is a network of its own, named network/id: the traces
+    (trace_id, network, pts, of) whose boxes meet the circle's, unclipped, with new ids, of being their ids before; the
+    areas are polygons of so many corners."""
+    name = lambda n, i: F.concat_ws("/", n, F.col(i).cast("string"))
+    near = grid.box_pairs(grid.segments_of(traces), _circle_boxes(circles), cell, 0.0, ("network",))
+    near = near.select(F.col("a_id").alias("of"), name("b_network", "b_id").alias("network")).distinct()
+    found = near.join(traces.select(F.col("trace_id").alias("of"), "pts"), "of")
+    ring = F.transform(F.sequence(F.lit(0), F.lit(corners)), lambda k: geom.point(F.col("x") + F.col("r") * F.cos(2 * F.pi() * (k % corners) / corners), F.col("y") + F.col("r") * F.sin(2 * F.pi() * (k % corners) / corners)))
+    areas = circles.select(F.col("id").alias("area_id"), name("network", "id").alias("network"), F.array(ring).alias("rings"))
+    # the numbers stay as they are once they are stored
+    return cut(found.select(F.monotonically_increasing_id().alias("trace_id"), "network", "pts", "of")), areas
+
+
 def one_of_each(rows: DataFrame, by: list[str], seed: int = 0) -> DataFrame:
     """A random row of each group."""
     order = Window.partitionBy(*by).orderBy(uniform(seed, *[F.col(f"`{c}`").cast("string") for c in rows.columns]))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riftspark.functions import geom
+from riftspark.functions.lineage import cut
 from riftspark.operators import grid, joins, overlay
 
 #: The rules' error strings in the order of the list (fixed values).
@@ -175,8 +176,9 @@ def validated(traces: DataFrame, areas: DataFrame | None, cell: float | None = N
     multi = None
     if "parts" in traces.columns:
         traces = fixed(traces) if fix else overlay.merge_parts(traces.withColumn("__many", F.size("parts") > 1)).withColumn("__multi", F.col("__many")).drop("__many")
+        # the parts are joined once for all rules
+        traces = cut(traces.withColumn("pts", F.when(~F.col("__multi"), F.col("pts"))))
         multi = traces.where("__multi").select("trace_id", F.lit("GEOM TYPE MULTILINESTRING").alias("error"))
-        traces = traces.withColumn("pts", F.when(~F.col("__multi"), F.col("pts")))
     cell = cell or grid.median_length(grid.segments_of(traces))
     found = errors(traces, areas, cell, t, rules)
     if multi is not None:

@@ -93,9 +93,11 @@ class Network:
     def representative_points(self) -> DataFrame:
         return sampling.representative_points(self.areas)
 
-    def parameters(self) -> DataFrame:
-        """One row of parameters for each network."""
+    def parameters(self, topology: bool = True) -> DataFrame:
+        """One row of parameters for each network; without topology, what needs nodes or branches is NaN."""
         raw = self.traces.select("network", F.col("length_raw").alias("length"))
+        if not topology:
+            return params.topology_parameters(raw, self.area, circular=self.circular)
         return params.topology_parameters(raw, self.area, self.nodes, self.branches.select("network", F.col("length_raw").alias("length")), self.circular)
 
     def node_counts(self) -> DataFrame:
@@ -157,6 +159,14 @@ class Network:
         circles = self.centroids.join(self.area, "network").select("network", "x", "y", geom.circle_radius(F.col("area")).alias("r"))
         return sampling.subsample(self._plain, circles, samples, least_radius, self.nodes, self.branches, by_area, seed)
 
+    def sample_networks(self, samples: int, least_radius: float, by_area: bool = False, seed: int = 0) -> Network:
+        """Random circles inside circular areas, each a network of its own with its own clip, topology, weights and fits; their
+        names are network/number."""
+        circles = self.centroids.join(self.area, "network").select("network", "x", "y", geom.circle_radius(F.col("area")).alias("r"))
+        circles = cut(sampling.random_circles(circles, samples, least_radius, by_area, seed))
+        traces, areas = sampling.sample_networks(self._plain, circles, max(self.cell, 2 * least_radius))
+        return Network(traces, areas, self.snap, True, True, azimuth_sets=self.azimuth_sets, length_sets=self.length_sets, cell=self.cell)
+
     def censoring(self) -> DataFrame:
         """(network, censoring): the area of censoring polygons inside the target areas; NaN without such polygons."""
         if self.censoring_areas is None:
@@ -176,8 +186,11 @@ class Network:
         radius = geom.circle_radius(F.col("Area")) if self.circular else F.lit(float("nan"))
         return out.withColumn("Radius", radius).withColumn("Relative Censoring", F.col("Censoring") / F.col("Area"))
 
-    def tables(self) -> dict[str, DataFrame]:
-        """What an export holds."""
+    def tables(self, topology: bool = True) -> dict[str, DataFrame]:
+        """What an export holds; without topology, what doesn't need nodes or branches."""
+        if not topology:
+            parameters = self.parameters(False).join(self.censoring().withColumnRenamed("censoring", "__c"), "network", "left").withColumn("Censoring", F.col("__c")).drop("__c")
+            return {"traces": self.traces, "parameters": parameters, "trace_rose": self.rose(), "trace_fits": self.fit_description()}
         return {
             "traces": self.traces, "branches": self.branches, "nodes": self.nodes, "parameters": self.description(), "azimuth_relations": self.azimuth_relations(), "trace_rose": self.rose(),
             "branch_rose": self.rose(True), "anisotropy": self.anisotropy(), "xyi": self.xyi_points(), "branch_classes": self.branch_points(),
@@ -197,6 +210,10 @@ class MultiNetwork:
     def optimised_cut_offs(self, branches: bool = False) -> DataFrame:
         return lengths.optimised_cut_offs(self.network.branches if branches else self.network.traces, self.network.area)
 
+    def own_cut_offs(self, branches: bool = False) -> DataFrame:
+        """The joint straight line with a cut-off of its own for each network."""
+        return lengths.own_cut_offs(self.network.branches if branches else self.network.traces, self.network.area)
+
     def set_fits(self, branches: bool = False) -> DataFrame:
         """The joint straight line of each azimuth set over all networks."""
         lines = self.network.branches if branches else self.network.traces

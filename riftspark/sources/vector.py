@@ -1,4 +1,4 @@
-"""Readers and writers of line and polygon tables: GeoJSON, WKT and Parquet.
+"""Readers and writers of line and polygon tables: GeoJSON, GeoPackage (reading only), WKT and Parquet.
 
 GeoJSON is read by Spark's JSON reader, from any store that Spark reads: a file with one feature collection is one row that
 is exploded; newline-delimited features are split among tasks and scale. Properties become columns.
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riftspark.functions import geom
+from riftspark.sources import geopackage
 
 _COORDINATES = {"LineString": "array<array<double>>", "MultiLineString": "array<array<array<double>>>", "Polygon": "array<array<array<double>>>", "MultiPolygon": "array<array<array<array<double>>>>", "Point": "array<double>"}
 
@@ -25,9 +26,14 @@ class WrongGeometry(TypeError):
     """A table has no geometry, or one of a type that the caller can't use."""
 
 
-def features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(kind, coordinates, properties...) of GeoJSON: one collection in a file, or a feature on each line."""
-    if lines:
+def features(spark: SparkSession, path: str, lines: bool = False, layer: str | None = None) -> DataFrame:
+    """(kind, coordinates, properties...) of GeoJSON: one collection in a file, or a feature on each line; or of a layer of
+    files whose names end in .gpkg."""
+    if path.rstrip("/").lower().endswith(".gpkg"):
+        raw = geopackage.read_features(spark, path, layer)
+    elif layer is not None:
+        raise ValueError(f"{path} has no layers")
+    elif lines:
         raw = spark.read.text(path).select(F.col("value").alias("f"))
     else:
         # geometry stays text until its type is known
@@ -77,10 +83,10 @@ def _line(coordinates, kind: str):
     return F.flatten(F.transform(points, lambda p: F.transform(p, lambda r: F.transform(r, to))))
 
 
-def read_traces(spark: SparkSession, path: str, network: str = "", lines: bool = False) -> DataFrame:
-    """(trace_id, network, pts, parts, properties...): lines of GeoJSON. pts is null for more than one part. A collection's
+def read_traces(spark: SparkSession, path: str, network: str = "", lines: bool = False, layer: str | None = None) -> DataFrame:
+    """(trace_id, network, pts, parts, properties...): lines of GeoJSON or GeoPackage. pts is null for more than one part. A collection's
     ids follow its order."""
-    found = check_kinds(features(spark, path, lines), ("LineString", "MultiLineString"))
+    found = check_kinds(features(spark, path, lines, layer), ("LineString", "MultiLineString"))
     c = F.col("coordinates")
     parts = F.when(F.col("kind") == "LineString", _line(c, "LineString")).when(F.col("kind") == "MultiLineString", _line(c, "MultiLineString"))
     own = [n for n in found.columns if n not in ("kind", "coordinates", "trace_id", "network", "pts", "parts")]
@@ -88,9 +94,9 @@ def read_traces(spark: SparkSession, path: str, network: str = "", lines: bool =
     return out.select("trace_id", "network", F.when(F.size("parts") == 1, F.col("parts")[0]).alias("pts"), "parts", *own)
 
 
-def read_areas(spark: SparkSession, path: str, network: str = "", lines: bool = False) -> DataFrame:
-    """(area_id, network, rings, properties...): polygons of GeoJSON; the rings of several polygons stand together."""
-    found = check_kinds(features(spark, path, lines), ("Polygon", "MultiPolygon"))
+def read_areas(spark: SparkSession, path: str, network: str = "", lines: bool = False, layer: str | None = None) -> DataFrame:
+    """(area_id, network, rings, properties...): polygons of GeoJSON or GeoPackage; the rings of several polygons stand together."""
+    found = check_kinds(features(spark, path, lines, layer), ("Polygon", "MultiPolygon"))
     c = F.col("coordinates")
     rings = F.when(F.col("kind") == "Polygon", _line(c, "Polygon")).when(F.col("kind") == "MultiPolygon", _line(c, "MultiPolygon"))
     own = [n for n in found.columns if n not in ("kind", "coordinates", "area_id", "network", "rings")]

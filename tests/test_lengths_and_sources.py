@@ -1,5 +1,8 @@
+import itertools
 import json
 import math
+import sqlite3
+import struct
 
 import numpy as np
 import pytest
@@ -150,6 +153,14 @@ def test_command_line_network_and_validation(spark, tmp_path):
     assert cli.main(["validate", t, a, "--output", str(tmp_path / "v.geojson")]) == 0
     assert vector.read_traces(spark, str(tmp_path / "v.geojson")).count() == 2
     assert cli.main(["snap", t, "--output", str(tmp_path / "s.geojson")]) == 0
+    assert cli.main(["network", t, a, "--output", str(tmp_path / "plain"), "--no-topology", "--name", "crossing", "--censoring", a]) == 0
+    row = spark.read.parquet(str(tmp_path / "plain/parameters.parquet")).first()
+    assert (row["network"], row["Censoring"], row["Number of Traces (Real)"]) == ("crossing", 100.0, 2) and math.isnan(row["Connections per Trace"])
+    assert not (tmp_path / "plain/branches.parquet").exists()
+    assert cli.main(["validate", t, a, "--output", str(tmp_path / "o.geojson"), "--only-areas", "--no-empty"]) == 0
+    (tmp_path / "far.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature("Polygon", [[[50, 50], [60, 50], [60, 60], [50, 50]]])]}))
+    with pytest.raises(ValueError, match="EMPTY TARGET AREA"):
+        cli.main(["validate", t, str(tmp_path / "far.geojson"), "--output", str(tmp_path / "e.geojson"), "--no-empty"])
 
 
 def test_thin_polygons_get_all_their_points(spark):
@@ -194,3 +205,111 @@ def test_fit_descriptions_against_plain_numpy(spark):
     normal = lambda v: 0.5 * math.erfc(-(v - got["lognormal_mu"]) / (got["lognormal_sigma"] * math.sqrt(2)))
     share = np.array([(normal(math.log(v)) - normal(math.log(0.8))) / (1 - normal(math.log(0.8))) for v in t])
     assert got["lognormal_d"] == pytest.approx(np.abs(share - below).max(), abs=1e-9)
+
+
+def test_running_sums_are_those_of_one_window(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(np.exp(rng.normal(0, 4, 500)), 3) + 0.001
+    rows = spark.createDataFrame([(None if k % 3 == 0 else "b", float(v), k % 5 + 1) for k, v in enumerate(np.unique(x))], "network string, length double, k int")
+    for falling in (False, True):
+        got = lengths.running(rows, ["network"], {"s": F.col("k")}, falling).toPandas()
+        for _, group in got.groupby("network", dropna=False):
+            group = group.sort_values("length", ascending=not falling)
+            assert group["s"].tolist() == group["k"].cumsum().tolist() and set(group["s_all"]) == {group["k"].sum()}
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 16, 1000])
+def test_pruned_cut_offs_are_those_of_all_lengths(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    x = np.round(np.concatenate([rng.pareto(1.6, 150) + 1, rng.uniform(0.1, 1.5, 80)]), 2)
+    sizes = lengths.sizes_of(lines(spark, x))
+    tried = lengths.least_distances(sizes, lengths.tails(sizes).select("network", "xmin", "n", "alpha"), blocks=blocks).collect()
+    every = {}
+    for xmin in np.unique(x)[:-1]:
+        above = np.sort(x[x >= xmin])
+        alpha = 1 + len(above) / np.log(above / xmin).sum()
+        every[xmin] = np.abs(np.searchsorted(above, above) / len(above) - (1 - (above / xmin) ** (1 - alpha))).max()
+    assert {r.xmin: pytest.approx(every[r.xmin], abs=1e-9) for r in tried} == {r.xmin: r.d for r in tried}
+    best = min(every, key=lambda v: (every[v], v))
+    assert best in {r.xmin for r in tried}
+    if blocks == 1000:  # a block for each length bounds the gaps exactly
+        assert {r.d for r in tried} == {min(r.d for r in tried)}
+
+
+def test_own_cut_offs_are_the_best_of_all_choices(spark):
+    rng = np.random.default_rng(3)
+    sets = {"a": rng.pareto(1.5, 120) + 1, "b": np.concatenate([rng.uniform(2, 9, 150), 9 * (rng.pareto(1.5, 60) + 1)]), "c": rng.exponential(3, 90)}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in sets.items() for v in x], "network string, length double")
+    areas = spark.createDataFrame([("a", 10.0), ("b", 90.0), ("c", 20.0)], "network string, area double")
+    qs = [0.0, 0.3, 0.6, 0.9]
+    got = lengths.own_cut_offs(rows, areas, qs).orderBy("network").collect()
+    points = {}
+    for k, x in sets.items():
+        u = np.unique(x)
+        share = np.array([(x >= v).mean() for v in u]) / {"a": 10.0, "b": 90.0, "c": 20.0}[k]
+        points[k] = [(np.log(u[u >= np.quantile(u, q)]), np.log(share[u >= np.quantile(u, q)])) for q in qs]
+    scores = {}
+    for choice in itertools.product(range(len(qs)), repeat=3):
+        a, b = (np.concatenate([points[k][i][j] for k, i in zip("abc", choice, strict=True)]) for j in (0, 1))
+        scores[tuple(qs[i] for i in choice)] = abs(1 - np.corrcoef(a, b)[0, 1] ** 2)
+    best = min(scores, key=scores.get)
+    assert tuple(r.q for r in got) == best and got[0].score == pytest.approx(scores[best], abs=1e-9)
+    assert lengths.own_cut_offs(rows.limit(0), areas).count() == 0
+
+
+def _geopackage(path, layers):
+    """A GeoPackage with as much as a reader needs: layers of name to rows (blob, text)."""
+    db = sqlite3.connect(path)
+    db.execute("CREATE TABLE gpkg_contents (table_name TEXT, data_type TEXT)")
+    db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT)")
+    for name, rows in layers.items():
+        db.execute("INSERT INTO gpkg_contents VALUES (?, 'features')", [name])
+        db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom')", [name])
+        db.execute(f"CREATE TABLE {name} (fid INTEGER PRIMARY KEY, geom BLOB, note TEXT)")
+        db.executemany(f"INSERT INTO {name} (geom, note) VALUES (?, ?)", rows)
+    db.commit()
+    db.close()
+
+
+def test_geopackage(spark, tmp_path):
+    head = lambda box=0, empty=0: b"GP\0" + bytes([1 | box << 1 | empty << 4]) + struct.pack("<i", 3067) + bytes([0, 32, 48, 48, 64][box])
+    flat = lambda pts: struct.pack(f"<{sum(map(len, pts))}d", *[v for p in pts for v in p])
+    line = lambda pts, kind=2: b"\1" + struct.pack("<II", kind, len(pts)) + flat(pts)
+    two = b"\1" + struct.pack("<II", 5, 2) + line([(0, 0), (1, 1)]) + line([(2, 2), (1, 1)])
+    big = b"\0" + struct.pack(">II", 2, 2) + struct.pack(">4d", 7, 8, 9, 10)
+    square = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
+    polygon = b"\1" + struct.pack("<III", 3, 1, 5) + flat(square)
+    traces = [(head(1) + line([(0, 0), (3, 4)]), "plain"), (head() + line([(1, 2, 3), (4, 5, 6)], 1002), "with z"), (head() + two, "two parts"), (head() + big, None), (head(0, 1) + line([]), "empty"), (None, "null")]
+    path = str(tmp_path / "net.gpkg")
+    _geopackage(path, {"traces": traces, "areas": [(head() + polygon, "a")]})
+    got = {r.note: r for r in vector.read_traces(spark, path, layer="traces").collect()}
+    xy = lambda pts: [(p.x, p.y) for p in pts]
+    assert xy(got["plain"].pts) == [(0, 0), (3, 4)] and xy(got["with z"].pts) == [(1, 2), (4, 5)] and xy(got[None].pts) == [(7, 8), (9, 10)]
+    assert got["two parts"].pts is None and [xy(p) for p in got["two parts"].parts] == [[(0, 0), (1, 1)], [(2, 2), (1, 1)]]
+    assert got["empty"].pts is None and got["null"].pts is None and got["plain"].network == "net"
+    assert [xy(r) for r in vector.read_areas(spark, path, layer="areas").first().rings] == [square]
+    for wrong in (None, "nodes"):
+        with pytest.raises(Exception, match="layer"):
+            vector.read_traces(spark, path, layer=wrong).collect()
+    with pytest.raises(ValueError, match="no layers"):
+        vector.read_traces(spark, str(tmp_path / "t.geojson"), layer="x")
+
+
+def test_samples_are_networks_of_their_own(spark):
+    from riftspark.plans.network import Network
+
+    circle = [[(10 * math.cos(2 * math.pi * (k % 64) / 64), 10 * math.sin(2 * math.pi * (k % 64) / 64)) for k in range(65)]]
+    traces = vector.lines_from(spark, [(1, "n", [(-9, 0), (9, 0.0)]), (2, "n", [(0, -9), (0.0, 9)]), (3, "n", [(-9, 1), (9, 1.5)])])
+    net = Network(traces, vector.areas_from(spark, [(1, "n", circle)]), circular=True)
+    samples = net.sample_networks(4, 8.0, seed=2)
+    found = {r.network: r for r in samples.parameters().collect()}
+    assert sorted(found) == [f"n/{k}" for k in range(4)]
+    whole = {f"{r.network}/{r.id}": r for r in net.subsample(4, 8.0, seed=2).collect()}
+    for name, row in found.items():
+        assert row["Area"] == pytest.approx(whole[name]["Area"]) and row["Number of Traces (Real)"] == 3
+        assert row["Fracture Intensity P21"] > 0 and row["Number of Branches (Real)"] == 7
+    for samples, radius in ((0, 1.0), (3, 0.0), (3, -1.0)):
+        with pytest.raises(ValueError, match="above 0"):
+            net.subsample(samples, radius)
+    with pytest.raises(Exception, match="smaller than the least radius"):
+        net.subsample(3, 11.0).collect()

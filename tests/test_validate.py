@@ -115,3 +115,22 @@ def test_an_end_beyond_a_bend_overlaps_whatever_the_distance(spark):
     rows = [(1, "n", [(0, -1), (0, 4.9895)]), (2, "n", [(-1, 0), (3, 0), (3, 5), (-1, 5)]), (3, "n", [(20, 0), (20, 4.9895)]), (4, "n", [(19, 5), (21, 5)])]
     got = {(r.id, r.error) for r in joins.snap_errors(lines_from(spark, rows), 1.0, 0.01).collect()}
     assert got == {(1, "OVERLAPPING SNAP"), (3, "UNDERLAPPING SNAP")}
+
+
+def test_parts_merge_in_any_order_and_direction(spark):
+    from riftspark.operators import overlay
+
+    cases = {
+        "in order": ([[(0, 0), (1, 0)], [(1, 0), (2, 0)]], [(0, 0), (1, 0), (2, 0)]),
+        "second reversed": ([[(0, 0), (1, 0)], [(2, 0), (1, 0)]], [(0, 0), (1, 0), (2, 0)]),
+        "before the first": ([[(1, 0), (2, 0)], [(0, 0), (1, 0)]], [(0, 0), (1, 0), (2, 0)]),
+        "shuffled": ([[(1, 0), (2, 0)], [(3, 0), (4, 0)], [(3, 0), (2, 0)], [(0, 0), (1, 0)]], [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0)]),
+        "mostly backwards": ([[(0, 0), (1, 0)], [(2, 0), (1, 0)], [(3, 0), (2, 0)]], [(3, 0), (2, 0), (1, 0), (0, 0)]),
+        "apart": ([[(0, 0), (1, 0)], [(5, 0), (6, 0)]], None),
+        "three in a point": ([[(0, 0), (1, 0)], [(1, 0), (2, 0)], [(1, 0), (1, 1)]], None),
+        "one": ([[(0, 0), (1, 0)]], [(0, 0), (1, 0)]),
+        "null": (None, None),
+    }
+    rows = [(k, None if p is None else [[(float(x), float(y)) for x, y in part] for part in p]) for k, (p, _) in cases.items()]
+    got = overlay.merge_parts(spark.createDataFrame(rows, "k string, parts array<array<struct<x: double, y: double>>>")).collect()
+    assert {r.k: r.pts and [(p.x, p.y) for p in r.pts] for r in got} == {k: v for k, (_, v) in cases.items()}
