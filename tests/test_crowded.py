@@ -11,7 +11,7 @@ from . import oracle
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
-NAMES = ["branches"]
+NAMES = ["branches", "topology_parameters"]
 
 
 @pytest.fixture(scope="module")
