@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riftspark.functions import geom
 from riftspark.functions.lineage import cut
-from riftspark.operators import grid
+from riftspark.operators import grid, tiles
 
 #: An intersection this near to an end is that end's own.
 NEAR_INTERSECTION = 1e-3
@@ -20,14 +18,23 @@ SAME_END = 1e-4
 def crossings(traces: DataFrame, cell: float, split: bool = False) -> DataFrame:
     """(network, a_id, a_seg, b_id, b_seg, x, y) of segments of different traces that meet, a_id < b_id, parallel ones left
     out. A point is computed once for the pair, so that both traces get the same coordinates."""
-    pairs = grid.other_pairs(grid.segments_of(traces), cell, split=split)
+    if split:
+        return _crossed(grid.other_pairs(grid.segments_of(traces), cell, split=True))
+    return tiles.by_tile(grid.segments_of(traces), 2 * cell, 0.0, tiles.crossings, "a_id long, a_seg int, b_id long, b_seg int, x double, y double")
+
+
+def _crossed(pairs: DataFrame) -> DataFrame:
     met = pairs.where(geom.segments_intersect("a_", "b_") & ~geom.parallel("a_", "b_")).withColumn("p", geom.crossing_point("a_", "b_"))
     return met.select(F.col("a_network").alias("network"), "a_id", "a_seg", "b_id", "b_seg", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
 
 def overlaps(traces: DataFrame, cell: float) -> DataFrame:
     """(network, a_id, a_seg, b_id, b_seg, x, y): both ends of the common part of collinear segments of different traces."""
-    pairs = grid.other_pairs(grid.segments_of(traces), cell).where(geom.segments_intersect("a_", "b_") & geom.parallel("a_", "b_"))
+    return _overlapped(grid.other_pairs(grid.segments_of(traces), cell))
+
+
+def _overlapped(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.where(geom.segments_intersect("a_", "b_") & geom.parallel("a_", "b_"))
     pts = F.array(*[F.struct(F.col(f"{s}x{i}").alias("x"), F.col(f"{s}y{i}").alias("y"), F.lit(s).alias("side")) for s in ("a_", "b_") for i in (0, 1)])
 
     def on_other(p):
@@ -45,111 +52,89 @@ def crosscuts(crossed: DataFrame) -> DataFrame:
     return crossed.groupBy("network", "a_id", "b_id").agg(F.count_distinct("x", "y").alias("n"))
 
 
-def multiple_crosscuts(crossed: DataFrame, least: int = 3) -> DataFrame:
-    """(id): traces that meet one other trace in so many points or more."""
-    many = crosscuts(crossed).where(F.col("n") >= least)
-    return many.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct()
-
-
-class Met(NamedTuple):
-    """What several rules need of where traces meet; see crossings(), overlaps(), intersection_nodes() and free_ends()."""
-
-    crossed: DataFrame
-    overlapped: DataFrame
-    nodes: DataFrame
-    free: DataFrame
-
-
-def meetings(traces: DataFrame, cell: float) -> Met:
-    """Where traces meet, each table computed once and stored."""
-    crossed, overlapped = cut(crossings(traces, cell)), cut(overlaps(traces, cell))
-    nodes = cut(intersection_nodes(traces, cell, crossed, overlapped))
-    return Met(crossed, overlapped, nodes, cut(free_ends(traces, nodes)))
+def multiple_crosscuts(traces: DataFrame, cell: float, least: int = 3) -> DataFrame:
+    """(id): traces that meet one other trace in so many points or more.
 
-
-def intersection_nodes(traces: DataFrame, cell: float, crossed: DataFrame | None = None, overlapped: DataFrame | None = None) -> DataFrame:
-    """(id, network, x, y): for each trace where others meet it, but not where ends of both coincide. crossed and overlapped:
-    where they are known already."""
-    crossed = (crossings(traces, cell) if crossed is None else crossed).unionByName(overlaps(traces, cell) if overlapped is None else overlapped)
-    both = crossed.select("network", F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("other")))).alias("s"), "x", "y")
-    both = both.select("network", "s.id", "s.other", "x", "y")
-    ends = grid.ends_of(traces)
-    own = both.join(ends.select("id", F.col("x").alias("ex"), F.col("y").alias("ey")), "id").where(F.hypot(F.col("x") - F.col("ex"), F.col("y") - F.col("ey")) < SAME_END)
-    shared = own.select("id", "other", "x", "y").distinct()
-    common = shared.alias("p").join(shared.alias("q"), (F.col("p.id") == F.col("q.other")) & (F.col("p.other") == F.col("q.id")) & (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")))
-    common = common.select("p.id", "p.other", "p.x", "p.y").distinct()
-    return both.join(common, ["id", "other", "x", "y"], "left_anti").select("id", "network", "x", "y").distinct()
-
-
-def free_ends(traces: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, network, x, y): ends that no intersection of their own trace lies near to."""
-    ends = grid.ends_of(traces).select("id", "network", "x", "y")
-    near = ends.join(nodes.select("id", F.col("x").alias("nx"), F.col("y").alias("ny")), "id").where(F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny")) < NEAR_INTERSECTION)
-    return ends.join(near.select("id", "x", "y").distinct(), ["id", "x", "y"], "left_anti").select("id", "network", "x", "y")
-
-
-def junctions(nodes: DataFrame, reach: float, threshold: int) -> DataFrame:
-    """(id): traces with a node to which so many nodes of other traces are nearer than reach, and those nodes' traces."""
-    keyed = grid.as_segments(nodes.select("id", "network", "x", "y"))
-    pairs = grid.other_pairs(keyed, max(reach * 4, 1e-9), reach, once=False)
-    close = pairs.where(F.hypot(F.col("a_x") - F.col("b_x"), F.col("a_y") - F.col("b_y")) < reach)
-    faulty = close.groupBy("a_id", "a_x", "a_y").agg(F.count("*").alias("n"), F.collect_set("b_id").alias("others")).where(F.col("n") >= threshold)
-    return faulty.select(F.explode(F.array_append(F.col("others"), F.col("a_id"))).alias("id")).distinct()
-
-
-def multi_junctions(traces: DataFrame, cell: float, snap: float, multiplier: float = 1.1, met: Met | None = None) -> DataFrame:
+    Where most traces do, comparing them in small blocks finds most of them; only the others are then compared with all traces
+    near them, tile by tile, and none further than its first such partner. Pairs aren't shuffled.
+    """
+    box = geom.bounds("pts")
+    wide = F.greatest(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"])
+    n, most, mean = traces.where(F.size("pts") > 1).agg(F.count("*"), F.max(F.size("pts") - 1), F.avg(wide)).first()
+    rows = traces.where(F.size("pts") > 1).select(F.col("trace_id").alias("id"), "network", box.alias("b"), F.explode(geom.segments("pts")).alias("s"))
+    rows = rows.select("id", "network", *[F.col(f"b.{c}").alias(o) for c, o in zip(("min_x", "min_y", "max_x", "max_y"), grid.SEGMENT, strict=True)], *[F.col(f"s.{c}").alias(f"s{c}") for c in grid.SEGMENT])
+    if not n or most * most < least:  # straight traces meet once
+        return rows.select("id").limit(0)
+    block = F.pmod(F.xxhash64("id"), F.lit(-(-n // 2048)))
+    first = cut(tiles.by_group(rows.withColumn("known", F.lit(False)).withColumn("block", block), ("network", "block"), lambda t, _: tiles.met_often(t, None, least), "id long").select("id"))
+    rows = rows.join(first.withColumn("known", F.lit(True)), "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    others = tiles.by_tile(rows, max(cell, 2 * mean), 0.0, lambda t, tile: tiles.met_often(t, tile, least), "id long").select("id")
+    return first.unionByName(others).distinct()
+
+
+def _with_ends(traces: DataFrame) -> DataFrame:
+    """segments_of() with both ends of their traces."""
+    out = traces.where(F.size("pts") > 1).select(F.col("trace_id").alias("id"), "network", geom.start("pts").alias("a"), geom.end("pts").alias("b"), F.explode(geom.segments("pts")).alias("s"))
+    return out.select("id", "network", *[F.col(f"s.{c}").alias(c) for c in grid.SEGMENT], F.col("a.x").alias("ex0"), F.col("a.y").alias("ey0"), F.col("b.x").alias("ex1"), F.col("b.y").alias("ey1"))
+
+
+def junctions(traces: DataFrame, cell: float, reach: float, threshold: int, kinds: str) -> DataFrame:
+    """(id): traces with a node to which so many nodes of other traces are nearer than reach, and those nodes' traces. kinds: see
+    tiles.trace_nodes(). Neither nodes nor pairs are shuffled."""
+    work = lambda t, tile: tiles.near_flags(t, tile, reach, threshold, SAME_END, NEAR_INTERSECTION, kinds)
+    return tiles.by_tile(_with_ends(traces), max(2 * cell, 16 * reach), 2 * reach + NEAR_INTERSECTION, work, "id long").select("id").distinct()
+
+
+def multi_junctions(traces: DataFrame, cell: float, snap: float, multiplier: float = 1.1) -> DataFrame:
     """(id): traces with two foreign nodes, ends or intersections, near one of their own."""
-    nodes = met.nodes if met else intersection_nodes(traces, cell)
-    return junctions(nodes.unionByName(met.free if met else free_ends(traces, nodes)), snap * multiplier, 2)
+    return junctions(traces, cell, snap * multiplier, 2, "met")
 
 
-def v_nodes(traces: DataFrame, cell: float, snap: float, multiplier: float = 1.1, met: Met | None = None) -> DataFrame:
+def v_nodes(traces: DataFrame, cell: float, snap: float, multiplier: float = 1.1) -> DataFrame:
     """(id): traces with a free end near a free end of another."""
-    return junctions(met.free if met else free_ends(traces, intersection_nodes(traces, cell)), snap * multiplier, 1)
+    return junctions(traces, cell, snap * multiplier, 1, "free")
 
 
 def end_distances(traces: DataFrame, cell: float, reach: float) -> DataFrame:
-    """(id, end, x, y, other, d): other traces nearer than reach to an end, with their distance."""
-    ends = grid.as_segments(grid.ends_of(traces))
-    pairs = grid.box_pairs(ends, grid.segments_of(traces), cell, reach, ("network",)).where("a_id <> b_id")
-    d = geom.point_segment_distance(*(F.col(c) for c in ("a_x", "a_y", "b_x0", "b_y0", "b_x1", "b_y1")))
-    near = pairs.withColumn("d", d).where(F.col("d") < reach)
-    return near.groupBy(F.col("a_id").alias("id"), F.col("a_end").alias("end"), F.col("a_x").alias("x"), F.col("a_y").alias("y"), F.col("b_id").alias("other")).agg(F.min("d").alias("d"))
+    """(id, end, x, y, other, d): other traces nearer than reach to an end, with their distance. All that is near to an end is in
+    the end's tile, so that pairs aren't shuffled."""
+    found = tiles.by_tile(_with_ends(traces), max(2 * cell, 4 * reach), reach, lambda t, tile: tiles.end_pairs(t, tile, reach), "id long, end int, x double, y double, other long, d double")
+    return found.drop("network")
 
 
-def snap_errors(traces: DataFrame, cell: float, snap: float, multiplier: float = 1.1, met: Met | None = None) -> DataFrame:
+def snap_errors(traces: DataFrame, cell: float, snap: float, multiplier: float = 1.1) -> DataFrame:
     """(id, error): ends that miss another trace by more than snap and less than snap x multiplier while none is nearer.
 
     A trace that the missed one cuts anywhere, but not just touches at its ends, overlaps it; one that runs on it for a
-    stretch can't be cut there and is stacked; else it underlaps.
+    stretch can't be cut there and is stacked; else it underlaps. Only pairs that miss are compared further.
     """
-    near = end_distances(traces, cell, snap * multiplier)
-    missed = near.groupBy("id", "end", "x", "y").agg(F.min("d").alias("least")).where(F.col("least") > snap)
-    banded = missed.join(near, ["id", "end", "x", "y"]).where(F.col("d") > snap)
-    crossed = met.crossed if met else crossings(traces, cell)
+    reach = snap * multiplier
+    banded = tiles.by_tile(_with_ends(traces), max(2 * cell, 4 * reach), reach, lambda t, tile: tiles.end_pairs(t, tile, reach, snap), "id long, other long")
+    banded = cut(banded.select("id", "other").distinct())
+    segments = grid.segments_of(traces)
+    of = lambda p: segments.select(*[F.col(c).alias(p + c) for c in segments.columns])
+    pairs = banded.select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")).distinct()
+    pairs = cut(pairs.join(of("a_"), "a_id").join(of("b_"), "b_id").where(geom.bbox_overlap("a_", "b_")))
+    crossed = _crossed(pairs)
     both = crossed.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"), F.col("x").alias("px"), F.col("y").alias("py"))
     both = both.unionByName(crossed.select(F.col("b_id").alias("id"), F.col("a_id").alias("other"), F.col("x").alias("px"), F.col("y").alias("py")))
     tips = grid.ends_of(traces).groupBy("id").agg(*[F.max(F.when(F.col("end") == e, F.col(c))).alias(f"{c}{e}") for e in (0, 1) for c in ("x", "y")])
     at_tip = lambda e: F.hypot(F.col("px") - F.col(f"x{e}"), F.col("py") - F.col(f"y{e}")) < 1e-9
     cuts = both.join(tips, "id").where(~at_tip(0) & ~at_tip(1)).select("id", "other").distinct().withColumn("cut", F.lit(True))
-    runs = (met.overlapped if met else overlaps(traces, cell)).groupBy("a_id", "b_id").agg(F.count_distinct("x", "y").alias("n")).where("n > 1")
+    runs = _overlapped(pairs).groupBy("a_id", "b_id").agg(F.count_distinct("x", "y").alias("n")).where("n > 1")
     runs = runs.select(F.explode(F.array(F.struct(F.col("a_id").alias("id"), F.col("b_id").alias("other")), F.struct(F.col("b_id").alias("id"), F.col("a_id").alias("other")))).alias("p")).select("p.*").distinct().withColumn("run", F.lit(True))
-    kind = banded.select("id", "other").distinct().join(cuts, ["id", "other"], "left").join(runs, ["id", "other"], "left")
+    kind = banded.join(cuts, ["id", "other"], "left").join(runs, ["id", "other"], "left")
     error = F.when(F.col("run"), "STACKED TRACES").when(F.col("cut"), "OVERLAPPING SNAP").otherwise("UNDERLAPPING SNAP")
     return kind.select("id", error.alias("error")).distinct()
 
 
 def proximal(traces: DataFrame, cell: float, buffer: float, tolerance: float) -> DataFrame:
     """traces with the column merge: whether another trace is as near as the buffer and runs alike, by its ends or by
-    its regression line."""
-    pairs = grid.other_pairs(grid.segments_of(traces), cell, buffer)
-    near = pairs.withColumn("d", geom.segment_distance("a_", "b_")).where(F.col("d") <= buffer).select("a_id", "b_id").distinct()
-    turns = traces.select(F.col("trace_id").alias("id"), geom.azimuth("pts").alias("az"), geom.regression_azimuth("pts").alias("reg"))
-    both = near.join(turns.select(F.col("id").alias("a_id"), F.col("az").alias("a_az"), F.col("reg").alias("a_reg")), "a_id").join(
-        turns.select(F.col("id").alias("b_id"), F.col("az").alias("b_az"), F.col("reg").alias("b_reg")), "b_id"
-    )
-    alike = both.where(geom.azimuths_close(F.col("a_az"), F.col("b_az"), tolerance) | geom.azimuths_close(F.col("a_reg"), F.col("b_reg"), tolerance))
-    flagged = alike.select(F.explode(F.array("a_id", "b_id")).alias("trace_id")).distinct().withColumn("__m", F.lit(True))
+    its regression line. Directions go with the segments, so that pairs give traces at once and aren't shuffled."""
+    turned = traces.select(F.col("trace_id").alias("id"), "network", geom.azimuth("pts").alias("az"), geom.regression_azimuth("pts").alias("reg"), F.explode(geom.segments("pts")).alias("s"))
+    turned = turned.select("id", "network", "az", "reg", *[F.col(f"s.{c}").alias(c) for c in grid.SEGMENT])
+    flagged = tiles.by_tile(turned, max(2 * cell, 2 * buffer), buffer, lambda t, _: tiles.run_alike(t, buffer, tolerance), "id long")
+    flagged = flagged.select(F.col("id").alias("trace_id")).distinct().withColumn("__m", F.lit(True))
     return traces.join(flagged, "trace_id", "left").withColumn("merge", F.coalesce("__m", F.lit(False))).drop("__m")
 
 

@@ -258,7 +258,7 @@ _POLY_SEG = "l AS (" + " UNION ALL ".join(f"SELECT id, grp, x{k} AS x0, y{k} AS
 
 @query(f"WITH {_POLY}, {_POLY_SEG}, {_CROSSED}, n AS (SELECT a_id, b_id, count(*) AS n FROM c GROUP BY 1, 2 HAVING count(*) >= 3) SELECT DISTINCT unnest([a_id, b_id]) AS id FROM n")
 def multiple_crosscuts(spark, sf_dir):
-    return joins.multiple_crosscuts(joins.crossings(views.embedding_polylines(spark, sf_dir), 0.1))
+    return joins.multiple_crosscuts(views.embedding_polylines(spark, sf_dir), 0.1)
 
 
 _ENDS = "e AS (SELECT id, grp, 0 AS k, x0 AS x, y0 AS y FROM l UNION ALL SELECT id, grp, 1, x1, y1 FROM l)"
@@ -270,10 +270,7 @@ j AS (SELECT DISTINCT a.id, b.id AS o, a.x, a.y FROM n a JOIN n b ON a.grp = b.g
 SELECT DISTINCT unnest([id, o]) AS id FROM j""")
 def near_nodes(spark, sf_dir):
     """Traces with an end or intersection near one of another trace."""
-    t = views.order_traces(spark, sf_dir)
-    crossed = joins.crossings(t, CELL).select("network", F.explode(F.array("a_id", "b_id")).alias("id"), "x", "y")
-    nodes = crossed.unionByName(grid.ends_of(t).drop("end"))
-    return joins.junctions(nodes, 0.55, 1)
+    return joins.junctions(views.order_traces(spark, sf_dir), CELL, 0.55, 1, "crossed")
 
 
 #: Nodes of traces: where others meet them, but not where ends of both coincide; and ends without such a node nearby.

@@ -46,3 +46,23 @@ def test_crowded(spark, crowded, name):
     df = queries.QUERIES[name](spark, crowded)
     oracle.same(df, queries.SQL[name], crowded)
     assert moved(df._jdf.queryExecution().executedPlan()) < 15 * 1500
+
+
+def test_crowded_polylines(spark):
+    """Bent traces that meet each other often: flags equal those of all pairs, and crossings aren't shuffled."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from riftspark.operators import joins
+
+    random.seed(3)
+    at = lambda k: 0 if k % 4 else 5 * k  # every fourth lies by itself
+    rows = [(k, str(k % 2), [(at(k) + random.gauss(0, 0.5), random.gauss(0, 0.5)) for _ in range(5 if k % 3 else 2)]) for k in range(240)]
+    t = spark.createDataFrame(rows, "trace_id long, network string, pts array<struct<x: double, y: double>>")
+    crossed = joins.crosscuts(joins.crossings(t, 0.25)).where(F.col("n") >= 3)
+    want = {r.id for r in crossed.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct().collect()}
+    found = joins.multiple_crosscuts(t, 0.25)
+    assert 0 < len(want) < 240
+    assert {r.id for r in found.collect()} == want
+    assert moved(found._jdf.queryExecution().executedPlan()) < 12 * 4 * 240
