@@ -52,11 +52,19 @@ def _circle_boxes(circles: DataFrame) -> DataFrame:
 
 
 def lengths_in_circles(lines: DataFrame, circles: DataFrame, cell: float) -> DataFrame:
-    """(network, id, line, length): the length of each line inside each circle that it enters."""
-    pairs = grid.box_pairs(grid.segments_of(lines), _circle_boxes(circles), cell, 0.0, ("network",))
+    """(network, id, line, length): the length of each line inside each circle that it enters. Only lines of several segments are
+    summed, so that straight ones aren't shuffled once for each circle."""
     inside = length_in_circle(*(F.col(c) for c in ("a_x0", "a_y0", "a_x1", "a_y1", "b_x", "b_y", "b_r")))
-    out = pairs.withColumn("__in", inside).where("__in > 0")
-    return out.groupBy(F.col("b_network").alias("network"), F.col("b_id").alias("id"), F.col("a_id").alias("line")).agg(F.sum("__in").alias("length"))
+
+    def parts(of: DataFrame) -> DataFrame:
+        pairs = grid.box_pairs(grid.segments_of(of), _circle_boxes(circles), cell, 0.0, ("network",)).withColumn("__in", inside).where("__in > 0")
+        return pairs.select(F.col("b_network").alias("network"), F.col("b_id").alias("id"), F.col("a_id").alias("line"), F.col("__in").alias("length"))
+
+    out = parts(lines.where(F.size("pts") == 2))
+    bent = lines.where(F.size("pts") > 2)
+    if bent.isEmpty():
+        return out
+    return out.unionByName(parts(bent).groupBy("network", "id", "line").agg(F.sum("length").alias("length")))
 
 
 def nodes_in_circles(nodes: DataFrame, circles: DataFrame, cell: float) -> DataFrame:

@@ -11,7 +11,7 @@ from . import oracle
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
-NAMES = ["branches", "topology_parameters", "node_counts", "azimuth_set_relations", "proximal_traces", "multi_junctions", "near_nodes", "snap_misses", "v_nodes", "end_distances", "crossings"]
+NAMES = ["branches", "topology_parameters", "node_counts", "azimuth_set_relations", "proximal_traces", "multi_junctions", "near_nodes", "snap_misses", "v_nodes", "end_distances", "crossings", "contour_grid"]
 
 
 @pytest.fixture(scope="module")
