@@ -5,6 +5,7 @@ import os
 import pytest
 
 from riftspark import queries
+from riftspark.functions.lineage import cut
 
 from . import oracle
 
@@ -66,3 +67,14 @@ def test_crowded_polylines(spark):
     assert 0 < len(want) < 240
     assert {r.id for r in found.collect()} == want
     assert moved(found._jdf.queryExecution().executedPlan()) < 12 * 4 * 240
+
+
+def test_crowded_validation(spark, crowded, monkeypatch):
+    """All rules together store no table of meetings."""
+    from riftspark.operators import joins, validate
+
+    stored = []
+    for module in (joins, validate):
+        monkeypatch.setattr(module, "cut", lambda df: stored.append(cut(df)) or stored[-1])
+    assert queries.QUERIES["validation_errors"](spark, crowded).count() == queries.views.order_traces(spark, crowded).count()
+    assert max((df.count() for df in stored), default=0) < 2 * 1500
