@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riftspark.functions import geom
 from riftspark.functions.lineage import cut
-from riftspark.operators import grid, params
+from riftspark.operators import grid, params, tiles
 
 
 def total_bounds(traces: DataFrame, by: str = "network") -> DataFrame:
@@ -60,7 +60,9 @@ def lengths_in_circles(lines: DataFrame, circles: DataFrame, cell: float) -> Dat
         pairs = grid.box_pairs(grid.segments_of(of), _circle_boxes(circles), cell, 0.0, ("network",)).withColumn("__in", inside).where("__in > 0")
         return pairs.select(F.col("b_network").alias("network"), F.col("b_id").alias("id"), F.col("a_id").alias("line"), F.col("__in").alias("length"))
 
-    out = parts(lines.where(F.size("pts") == 2))
+    straight = grid.segments_of(lines.where(F.size("pts") == 2))
+    longest = straight.agg(F.max(F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))))).first()[0] or 0.0
+    out = tiles.lengths_in_circles(straight, circles, max(cell, longest), longest)
     bent = lines.where(F.size("pts") > 2)
     if bent.isEmpty():
         return out
